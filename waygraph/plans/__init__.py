@@ -1,5 +1,7 @@
 """Query catalogs of the core."""
 
+from .graphs import CATALOG as _GRAPHS
 from .quality import CATALOG as _QUALITY
+from .timing import CATALOG as _TIMING
 
-CATALOGS = (_QUALITY,)
+CATALOGS = (_GRAPHS, _TIMING, _QUALITY)
