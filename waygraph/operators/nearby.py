@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geo import EARTH_M, ground_distance
-from ..runtime import shuffle_width
+from ..runtime import shuffle_width, written
 from .sorted_groups import breaks, gather
 
 #: height and width of a trapezoid in regions' diameters
@@ -85,22 +85,26 @@ def near_positions(positions: DataFrame, radius_m: float) -> DataFrame:
             return
         c = {k: t.column(k).to_numpy() for k in (*key, "kind", "lat", "lon", "shift", "half")}
         start = breaks(c["slab"], c["tile"], c["block"])
-        end = np.append(start[1:], t.num_rows)
-        ones = np.add.reduceat(c["kind"], start)
-        for a, b, k in zip(start, end, ones, strict=True):
-            if not k or k == b - a:
-                continue
-            m = b - k
-            left = c["lon"][a:m] + c["shift"][a:m] - c["half"][a:m]
-            x = c["lon"][m:b]
-            lo = np.searchsorted(left, x - 2 * c["half"][a:m].max() - 1e-9, "left")
-            hi = np.searchsorted(left, x, "right")
-            yield from _decide(c, a, m, lo, hi, radius_m)
+        cell = np.repeat(np.arange(len(start)), np.diff(np.append(start, t.num_rows)))
+        region, point = np.flatnonzero(c["kind"] == 0), np.flatnonzero(c["kind"] == 1)
+        if not len(region) or not len(point):
+            return
+        # one ordered list of left edges for all trapezoids: number of the trapezoid plus the place in it
+        west = c["lon"] + c["shift"] - c["half"]
+        base = np.minimum.reduceat(west, start)[cell]
+        span = (np.maximum.reduceat(west, start)[cell] - base) * 1.01 + 1e-6
+        widest = np.maximum.reduceat(c["half"], start)[cell]
+        place = lambda i, x: cell[i] + np.clip((x - base[i]) / span[i], 0, 1 - 1e-9)
+        edges = place(region, west[region])
+        x = c["lon"][point]
+        lo = np.searchsorted(edges, place(point, x - 2 * widest[point]) - 1e-9, "left")
+        hi = np.searchsorted(edges, place(point, x) + 1e-9, "right")
+        yield from _decide(c, region, point, lo, hi, radius_m)
 
     return rows.mapInArrow(run, _PAIRS)
 
 
-def _decide(c: dict[str, np.ndarray], a: int, m: int, lo: np.ndarray, hi: np.ndarray, radius_m: float) -> Iterator[pa.RecordBatch]:
+def _decide(c: dict[str, np.ndarray], region: np.ndarray, point: np.ndarray, lo: np.ndarray, hi: np.ndarray, radius_m: float) -> Iterator[pa.RecordBatch]:
     """Exact check of the regions lo..hi of each point, some million at a time."""
     n = np.maximum(hi - lo, 0)
     total = np.cumsum(n)
@@ -108,8 +112,8 @@ def _decide(c: dict[str, np.ndarray], a: int, m: int, lo: np.ndarray, hi: np.nda
     while first < len(n):
         last = max(first + 1, int(np.searchsorted(total, (total[first - 1] if first else 0) + (1 << 20), "right")))
         k = n[first:last]
-        i = np.repeat(np.arange(first, last), k) + m
-        j = np.arange(int(k.sum())) - np.repeat(np.cumsum(k) - k, k) + np.repeat(lo[first:last], k) + a
+        i = point[np.repeat(np.arange(first, last), k)]
+        j = region[np.arange(int(k.sum())) - np.repeat(np.cumsum(k) - k, k) + np.repeat(lo[first:last], k)]
         la, lo_a, lb, lo_b = c["lat"][j], c["lon"][j], c["lat"][i], c["lon"][i]
         ok = ((la < lb) | ((la == lb) & (lo_a < lo_b))) & (ground_distance(la, lo_a, lb, lo_b) <= radius_m)
         if ok.any():
@@ -127,7 +131,7 @@ def near_pairs(df: DataFrame, radius_m: float = 15.0) -> DataFrame:
     nodes = df.where(F.col("id").isNotNull() & valid_position(F.col("lat"), F.col("lon"))).select(
         "id", (F.col("lat").cast("double") + 0.0).alias("lat"), (F.col("lon").cast("double") + 0.0).alias("lon")
     )
-    nodes = nodes.distinct()
+    nodes = written(nodes.distinct(), "positions")  # read four times
     where = near_positions(nodes.select("lat", "lon").distinct(), radius_m)
     a = nodes.select(F.col("id").alias("a"), F.col("lat").alias("a_lat"), F.col("lon").alias("a_lon"))
     b = nodes.select(F.col("id").alias("b"), F.col("lat").alias("b_lat"), F.col("lon").alias("b_lon"))
