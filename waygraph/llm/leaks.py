@@ -25,8 +25,8 @@ WIDTH = 13
 RADIUS = 3
 SHINGLE = 5
 SIMILAR = 0.8
-#: item words searched for at a time (about 50 bytes of index each)
-BLOCK_WORDS = 1_000_000
+#: item words searched for at a time; the index sent to a worker has some 150 bytes a word
+BLOCK_WORDS = 200_000
 #: words of documents handled at a time in a task
 SLICE_WORDS = 1 << 18
 

@@ -33,6 +33,8 @@ _END = re.compile("[.!?][”\"»’')\\]]*$")
 _SHORT = re.compile("(?:^|[\\s(])(?:para|paras|Rg|Dec|Col|s|ss|no|No|Nr|Art|art|Abs|vgl|cf|al|v|lit|Bd|(?<!\\w)[A-Z]|(?:Am|am|vom|den) \\d{1,2}(?:\\.\\d{1,2})?)\\.$")
 #: an ending without a full stop and of so many words is a sentence that breaks off
 LONG_WORDS = 8
+#: a shorter one of so many words, or with three in lower case, has the words of a sentence
+SHORT_WORDS = 5
 #: closing lines are those that this share of all texts, of so many different lengths, end with
 CLOSING_SHARE, CLOSING_LEAST = 2e-4, 3
 #: a length is a candidate limit with so many texts, this share of its source's, and so many times the usual
@@ -84,7 +86,7 @@ def ending(text: str) -> tuple[str, str | None, int]:
     if len(words) <= 2 * LONG_WORDS:
         template = re.sub(r"\d+", "9", re.sub("[^\\W\\d_a-zß-ÿ][\\w’'-]+", "X", body))
     lower = sum(w[:1].islower() for w in words)
-    return "broken" if len(words) >= LONG_WORDS else "fragment" if lower >= 3 else "unclear", template, bare
+    return "broken" if len(words) >= LONG_WORDS else "fragment" if lower >= 3 or len(words) >= SHORT_WORDS else "unclear", template, bare
 
 
 def endings(documents: DataFrame) -> DataFrame:
