@@ -40,9 +40,9 @@ def coordinate_nodes(points: DataFrame) -> DataFrame:
 
 def projected(nodes: DataFrame) -> DataFrame:
     """nodes with x_m, y_m; a position that has no finite projection is an error."""
-    finite = lambda c: F.when(F.isnan(c) | (F.abs(c) == float("inf")), F.raise_error(F.lit("position cannot be projected"))).otherwise(c)
+    known = lambda c: F.coalesce(c, F.raise_error(F.lit("position cannot be projected")).cast("double"))
     p = with_projection(nodes.select("id", "lat", "lon"))
-    return p.select("id", "lat", "lon", finite(F.col("x_m")).alias("x_m"), finite(F.col("y_m")).alias("y_m"))
+    return p.select("id", "lat", "lon", known(F.col("x_m")).alias("x_m"), known(F.col("y_m")).alias("y_m"))
 
 
 def segments(points: DataFrame, route: list[str]) -> DataFrame:

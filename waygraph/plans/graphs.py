@@ -117,7 +117,7 @@ def build_stats(spark, d):
 def projected_nodes(spark, d):
     """Projection of every positioned node beside the table's x_m, y_m."""
     n = nodes(spark, d).where("lat is not null and lon is not null and not (lat = 0 and lon = 0)")
-    return with_projection(n, "px", "py").select("id", "x_m", "y_m", "px", "py")
+    return with_projection(n, "px", "py", None).select("id", "x_m", "y_m", "px", "py")
 
 
 @add("graph_violations", """WITH s AS (SELECT id, lat, lon, row_number() OVER (ORDER BY id NULLS FIRST, lat NULLS FIRST, lon NULLS FIRST) - 1 AS k FROM graph),

@@ -9,8 +9,10 @@ import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..operators.build import require_valid
+from ..runtime import written
 from ..schema import COORDINATE_CRS, DISTANCE_CRS, WEIGHT_UNIT, Graph
 
 NAME = "WAYGRAPH"
@@ -56,8 +58,8 @@ def _header(lines: DataFrame, fields: list[str]) -> dict[str, str]:
         parts = got[i].value.split() if i < len(got) else []
         if len(parts) != 2 or not (parts[0].endswith("_" + want) if i == 0 else parts[0] == want):
             raise FormatError(f"line {i + 1}: expected {want}")
-        out[want] = parts[1]
-    if out[fields[0]] != "1":
+        out[want if i else "version"] = parts[1]
+    if out["version"] != "1":
         raise FormatError("unknown version")
     if "GRAPH_SHA256" in out and not _HASH.fullmatch(out["GRAPH_SHA256"]):
         raise FormatError("invalid hash")
@@ -103,13 +105,16 @@ def read_graph_text(spark: SparkSession, path: str) -> Graph:
     m = _count(parts[1])
     _complete(lines, at + 1 + m)
     t = F.col("t")
-    nodes = _rows(lines, len(fixed), n, 5).select(whole(t[0]).alias("id"), *[real(t[i]).alias(c) for i, c in enumerate(("lat", "lon", "x_m", "y_m"), 1)])
-    edges = _rows(lines, at + 1, m, 3).select("line", whole(t[0]).alias("src"), whole(t[1]).alias("dst"), real(t[2]).alias("w"))
+    # written once: later filters must not reach lines that are no rows
+    numbers = [real(t[i]).alias(c) for i, c in enumerate(("lat", "lon", "x_m", "y_m"), 1)]
+    rows = written(_rows(lines, len(fixed), n, 5).select("line", whole(t[0]).alias("id"), *numbers), "nodes")
+    nodes = rows.drop("line")
+    edges = written(_rows(lines, at + 1, m, 3).select("line", whole(t[0]).alias("src"), whole(t[1]).alias("dst"), real(t[2]).alias("w")), "edges")
     require_valid(nodes, edges.drop("line"))
     nxt = edges.select((F.col("line") - 1).alias("line"), F.col("src").alias("s2"), F.col("dst").alias("d2"))
     if not edges.join(nxt, "line").where("s2 < src or (s2 = src and d2 <= dst)").isEmpty():
         raise FormatError("edges are not in order")
-    if not _rows(lines, len(fixed), n, 5).where(whole(t[0]) != F.col("line") - len(fixed)).isEmpty():
+    if not rows.where(F.col("id") != F.col("line") - len(fixed)).isEmpty():
         raise FormatError("nodes are not in order")
     return Graph(nodes, edges.drop("line"), h["GRAPH_SHA256"])
 
@@ -123,7 +128,7 @@ def read_queries_text(spark: SparkSession, path: str, sha256: str | None = None)
     n = _count(h["QUERIES"])
     _complete(lines, 3 + n)
     t = F.col("t")
-    out = _rows(lines, 3, n, 3).select((F.col("line") - 3).alias("input_pos"), whole(t[0]).alias("query_id"), whole(t[1]).alias("source"), whole(t[2]).alias("target"))
+    out = written(_rows(lines, 3, n, 3).select((F.col("line") - 3).alias("input_pos"), whole(t[0]).alias("query_id"), whole(t[1]).alias("source"), whole(t[2]).alias("target")), "queries")
     if not out.where("query_id < 0").isEmpty() or not out.groupBy("query_id").count().where("count > 1").isEmpty():
         raise FormatError("negative or repeated query id")
     return out
@@ -143,7 +148,8 @@ def read_results_text(spark: SparkSession, path: str, sha256: str | None = None)
     status = F.when(known, t[1]).otherwise(bad("unknown status", "string"))
     fits = (F.size(t) >= 4) & (F.size(t) == 4 + F.get(t, 3).try_cast("bigint")) & ((t[1] == "found") == (t[2] != "-")) & ((t[1] == "found") == (F.size(t) > 4))
     path_ = F.when(F.coalesce(fits, F.lit(False)), F.transform(F.slice(t, 5, F.greatest(F.size(t) - 4, F.lit(0))), lambda v: v.try_cast("bigint"))).otherwise(bad("wrong fields", "array<bigint>"))
-    return _rows(lines, 3, n, None).select(whole(t[0]).alias("query_id"), status.alias("status"), F.when(F.get(t, 2) != "-", real(F.get(t, 2))).alias("distance"), path_.alias("path"))
+    rows = _rows(lines, 3, n, None).select(whole(t[0]).alias("query_id"), status.alias("status"), F.when(F.get(t, 2) != "-", real(F.get(t, 2))).alias("distance"), path_.alias("path"))
+    return written(rows, "results")
 
 
 def digits17(x: float) -> str:
@@ -151,7 +157,7 @@ def digits17(x: float) -> str:
     return f"{x:.17g}"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _digits(x):
     return x.map(digits17)
 
