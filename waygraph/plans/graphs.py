@@ -351,17 +351,21 @@ _BOUND = f"""WITH RECURSIVE e0 AS (SELECT src, dst, min(CAST(round(distance_m *
       WHERE distance_m IS NOT NULL AND src <> dst GROUP BY src, dst),
 n AS (SELECT DISTINCT id FROM graph WHERE x_m IS NOT NULL AND y_m IS NOT NULL),
 e AS (SELECT * FROM e0 WHERE src IN (SELECT id FROM n) AND dst IN (SELECT id FROM n)), {Q}, {labels(SOURCES)}
-SELECT q.query_id, TRUE AS valid, TRUE AS within FROM q JOIN l ON l.s = q.source AND l.node = q.target
-WHERE q.source IN (SELECT id FROM n) AND q.target IN (SELECT id FROM n)
+SELECT s * 100000000 + node AS query_id, TRUE AS valid, TRUE AS within FROM l WHERE node <> s
 """
 
 
-def _bound(spark, d, answers, g, weight=1.05):
-    exact = relax.point_to_point(g.nodes, g.edges, queries_of(spark, d)).select("query_id", "status", "distance")
-    j = verify.judged(queries_of(spark, d), written(answers, "answers"), exact, g.edges, "any")
+def _pairs(spark, d, g):
+    """Every pair of a query's source and another node that it reaches, as queries with the least distance."""
+    labels = relax.single_source(g.edges, queries_of(spark, d).select("source"), paths=False).where("node <> source")
+    number = F.col("source") * 100_000_000 + F.col("node")
+    return written(labels.select(number.alias("query_id"), "source", F.col("node").alias("target"), F.lit("found").alias("status"), F.col("g").alias("distance")), "pairs")
+
+
+def _bound(answers, pairs, g, weight=1.05):
+    j = verify.judged(pairs, written(answers, "answers"), pairs.select("query_id", "status", "distance"), g.edges, "any")
     bad = verify.bound_violations(j, weight).select("query_id", F.lit(False).alias("ok"))
-    found = exact.where("status = 'found'").select("query_id")
-    return found.join(j, "query_id").join(bad, "query_id", "left").select("query_id", F.col("error").isNull().alias("valid"), F.coalesce("ok", F.lit(True)).alias("within"))
+    return pairs.select("query_id").join(j, "query_id").join(bad, "query_id", "left").select("query_id", F.col("error").isNull().alias("valid"), F.coalesce("ok", F.lit(True)).alias("within"))
 
 
 @add("hpa_bound_check", _BOUND)
@@ -369,14 +373,16 @@ def hpa_bound_check(spark, d):
     """Weighted search on the overlay (set-based): paths are valid and within the weight."""
     g = _positioned(spark, d)
     index = hierarchy.build_index(g, hierarchy.Options(float(L), 1.05))
-    return _bound(spark, d, hierarchy.overlay_route(g, index, queries_of(spark, d)), g)
+    pairs = _pairs(spark, d, g)
+    return _bound(hierarchy.overlay_route(g, index, pairs.select("query_id", "source", "target")), pairs, g)
 
 
 def _kernel_bound(spark, d, algorithm):
     g = _positioned(spark, d)
     index = hierarchy.build_index(g, hierarchy.Options(float(L), 1.05))
     net = kernel.collect_network(g.nodes, g.edges, index)
-    return _bound(spark, d, kernel.kernel_route(net, queries_of(spark, d), algorithm, 1.05), g)
+    pairs = _pairs(spark, d, g)
+    return _bound(kernel.kernel_route(net, pairs, algorithm, 1.05), pairs, g)
 
 
 @add("kernel_hpa_bound", _BOUND)
