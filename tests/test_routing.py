@@ -70,7 +70,7 @@ def test_fixed_cases():
         search(net, "other", 0, 1)
 
 
-@pytest.mark.parametrize("case", [LEAVE, random_graph(101, True), random_graph(102)])
+@pytest.mark.parametrize("case", [LEAVE, random_graph(101, True, 8)])
 def test_set_based_on_whole_graphs(spark, case):
     nodes, edges = case
     n = len(nodes)

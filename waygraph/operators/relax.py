@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import written
+from ..runtime import discard, written
 from ..schema import FOUND, INVALID, UNREACHABLE
 
 MAX_ROUNDS = 10_000
@@ -59,7 +59,8 @@ def relax(edges: DataFrame, seeds: DataFrame, key: list[str], keep: Callable[[Da
             front = step(front)
             every = every.unionByName(front)
         # labels of inner steps have gone on already; those of the last step are the next front
-        best = written(every.groupBy(*key, "node").agg(F.min("l").alias("l")), "labels")
+        old, best = best, written(every.groupBy(*key, "node").agg(F.min("l").alias("l")), "labels")
+        discard(old)
     return best.select(*key, "node", "l.g", "l.hops", "l.path", *[f"l.{c}" for c in extra])
 
 
