@@ -85,3 +85,17 @@ def test_repeats_and_empty(spark):
     rows = [(1, None, GOOD), (1, None, GOOD), (2, None, "{"), (2, None, "{")]
     assert parsed_lines(spark.createDataFrame(rows, schema)).count() == 2
     assert parsed_lines(spark.createDataFrame([], schema)).count() == 0
+
+
+NO_JSON = ["NaN", "Infinity", "-Infinity", "Inf", "-Inf", "-NaN", "[1,NaN]", "[ NaN]", '["a",\t-Infinity, "b"]', r'"x\\",  "q":-Inf', r'1,"x\"y":NaN']
+NO_JSON_FIRST = '{"speed" : NaN,"RouteId":"1","RouteVarId":"2","lat":[1.5],"lng":[2]}'
+
+
+def test_further_fields_are_read_strictly(spark):
+    line = lambda x: f'{{"RouteId":"1","RouteVarId":"2","lat":[1.5],"lng":[2],"speed":{x}}}'
+    sound = [line(x) for x in ("1", '"NaN"', '"a,Infinity"', '", NaN"', '[":Inf"]', "null")]
+    rows = [(i, "f", body) for i, body in enumerate([*map(line, NO_JSON), *sound, NO_JSON_FIRST])]
+    got = {r.line_id: r for r in parsed_lines(spark.createDataFrame(rows, "line_id long, feed string, body string")).collect()}
+    for i, _, body in rows:
+        assert got[i].status == ("good" if body in sound else "bad"), body
+        assert got[i].reason == diagnose(body)[0]

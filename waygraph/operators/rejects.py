@@ -4,7 +4,8 @@ A block of lines is parsed at once by a columnar JSON reader with a fixed schema
 is cut in two, and again, until the bad lines stand alone; those are read strictly, character by
 character as the standard has it, for the reason. Only lines that the columnar reader cannot confuse
 with a neighbour (one opening brace at the start, one closing brace at the end) enter a block; the
-others are read strictly as well.
+others are read strictly as well, and so are lines with a bare NaN or Inf anywhere, which that reader
+takes for a number.
 """
 
 from __future__ import annotations
@@ -22,6 +23,8 @@ from pyspark.sql import functions as F
 
 #: white space of the JSON standard
 SPACE = " \t\r\n"
+#: a value that the columnar reader accepts and the standard does not; in a string it is a false alarm
+_NO_JSON = r"[:,\[][ \t]*-?(?:NaN|Inf)"
 _FIELDS = ("RouteId", "RouteVarId", "lat", "lng")
 _SCHEMA = pa.schema([("RouteId", pa.string()), ("RouteVarId", pa.string()), ("lat", pa.list_(pa.float64())), ("lng", pa.list_(pa.float64()))])
 _OUT = "line_id long, feed string, status string, reason string, RouteId string, RouteVarId string, lat array<double>, lng array<double>"
@@ -129,6 +132,7 @@ def _parse(batch: pa.RecordBatch) -> pa.RecordBatch:
     plain = pc.and_(plain, pc.and_(pc.starts_with(text, "{"), pc.ends_with(text, "}"))).to_numpy(zero_copy_only=False)
     # a line break inside a line would be two lines of a block
     plain &= ~pc.match_substring_regex(text, "[\r\n]").to_numpy(zero_copy_only=False)
+    plain &= ~pc.match_substring_regex(text, _NO_JSON).to_numpy(zero_copy_only=False)
     status = np.where(blank, "blank", "bad").astype(object)
     reason = np.full(len(text), None, dtype=object)
     at = np.flatnonzero(plain & ~blank)
