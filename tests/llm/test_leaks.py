@@ -1,3 +1,4 @@
+import math
 import random
 import re
 
@@ -76,3 +77,55 @@ def test_empty_and_long(spark):
     i = spark.createDataFrame([(1, "s", "start " + " ".join(f"z{k}" for k in range(13)))], ITEMS)
     assert [(r.doc_id, r.item_id) for r in leaks(d, i).where("exact_windows > 0").collect()] == [(1, 1)]
     assert leaks(d.limit(0), i).count() == 0 and leaks(d, i.limit(0)).count() == 0
+
+
+def brute_near(docs, items, width=13, shingle=5, similar=0.8):
+    """(doc, item) -> greatest similarity of two windows, where it is at least `similar`; from sets of shingles."""
+    cut = lambda w, k: [tuple(w[i : i + k]) for i in range(len(w) - k + 1)]
+    count, windows, holders = {}, [], {}
+    for item, text in items:
+        w = WORD.findall(text.lower())
+        for s in set(cut(w, shingle)):
+            count[s] = count.get(s, 0) + 1
+        for x in cut(w, width):
+            windows.append((item, set(cut(x, shingle))))
+            for s in windows[-1][1]:
+                holders.setdefault(s, set()).add(len(windows) - 1)
+    n = sum(len(WORD.findall(t)) >= shingle for _, t in items)
+    weigh = lambda x: math.fsum(math.log1p(n / count.get(s, 1)) for s in x)
+    out = {}
+    for doc, text in docs:
+        for x in cut(WORD.findall(text.lower()), width):
+            x = set(cut(x, shingle))
+            for j in set().union(*(holders.get(s, ()) for s in x)):
+                item, y = windows[j]
+                like = round(weigh(x & y) / weigh(x | y), 12)
+                if like >= similar:
+                    out[doc, item] = max(like, out.get((doc, item), 0))
+    return out
+
+
+def test_near_like_brute_force(spark):
+    rnd = random.Random(11)
+    make = lambda n, k=5000: [f"w{rnd.randrange(k)}" for _ in range(n)]
+    shared = make(30)
+    items = [(i, make(rnd.randrange(20, 60)) + shared[: rnd.choice([0, 0, 14, 30])] + make(9)) for i in range(40)]
+    items += [(90, ["a", "b"] * 12), (91, make(4)), (92, make(12)), (93, make(1) * 20)]
+    docs = []
+    for d in range(250):
+        w = rnd.choice(items)[1].copy()
+        every = rnd.choice([8, 12, 13, 13, 13, 14])
+        for k in range(rnd.randrange(every), len(w), every):
+            w[k] = f"new{rnd.randrange(10**6)}"
+        docs.append((d, make(20) + w + make(20)))
+    docs += [(900, ["a", "b"] * 6 + ["c"]), (901, ["q", *["a", "b"] * 5]), (902, make(300, 3)), (903, shared[:12]), (904, ["y", *shared[:12], "z"])]
+    docs, items = ([(i, " ".join(w)) for i, w in x] for x in (docs, items))
+    want = brute_near(docs, items)
+    exact = brute(docs, items)
+    assert len(want.keys() - exact) > 50
+    d = spark.createDataFrame([(*x, "") for x in docs], DOCS).repartition(3)
+    i = spark.createDataFrame([(a, "s", b) for a, b in items], ITEMS)
+    got = {(r.doc_id, r.item_id): r for r in leaks(d, i).collect()}
+    assert got.keys() == want.keys() | exact
+    assert {k for k, r in got.items() if r.exact_windows} == exact
+    assert {k: r.similarity for k, r in got.items()} == pytest.approx(want)

@@ -4,8 +4,12 @@ Documents and items are cut into windows of `width` words, the length from which
 counts. Every window has a 64-bit SimHash of its words, made by bit-sliced counting over the whole
 word stream. Two fingerprints that differ in at most `radius` bits agree in at least one of
 radius + 1 blocks, so looking each document window up in one table a block finds all item windows
-within the radius. Candidates are then compared exactly: similarity of their weighted shingles, and
-whether all words are the same in the same order.
+within the radius: all with the same words, but few of the merely similar ones, as one word in
+thirteen changes about 7 bits. Those are found by their shingles: a window pair of similarity s shares
+a weight of at least s times that of either window, so it shares one of the item window's heaviest
+shingles that together weigh more than 1 - s of it, and at most 1 - s of the document window's
+shingles occur in no item. Candidates are then compared exactly: similarity of their weighted
+shingles, and whether all words are the same in the same order.
 
 Only the item windows (a stated query set) are sent to the tasks; documents are read once and not
 shuffled. More items than one block holds are searched in several blocks of items.
@@ -25,10 +29,14 @@ WIDTH = 13
 RADIUS = 3
 SHINGLE = 5
 SIMILAR = 0.8
-#: item words searched for at a time; the index sent to a worker has some 150 bytes a word
+#: item words searched for at a time; the index sent to a worker has some 170 bytes a word
 BLOCK_WORDS = 200_000
 #: words of documents handled at a time in a task
 SLICE_WORDS = 1 << 18
+#: pairs of windows that share a shingle, handled at a time
+PAIRS = 1 << 20
+#: similarities are rounded to so many digits, so that sums in another order don't fall below the limit
+DIGITS = 12
 
 _OUT = "doc_id long, item_id long, exact_windows long, similarity double"
 
@@ -96,15 +104,17 @@ def simhash_windows(words: np.ndarray, width: int) -> np.ndarray:
 class ItemIndex:
     """Windows of the items with one lookup table for each block of the fingerprint."""
 
-    def __init__(self, items: list[tuple[int, np.ndarray]], width: int, radius: int, shingle: int):
-        self.width, self.radius, self.shingle = width, radius, shingle
-        ids, rows = [], []
-        for item, words in items:
+    def __init__(self, items: list[tuple[int, np.ndarray]], width: int, radius: int, shingle: int, similar: float = SIMILAR):
+        self.width, self.radius, self.shingle, self.similar = width, radius, shingle, similar
+        ids, rows, numbers = [], [], []
+        for number, (item, words) in enumerate(items):
             if len(words) >= width:
                 w = np.lib.stride_tricks.sliding_window_view(words, width)
                 rows.append(w)
                 ids.append(np.full(len(w), item))
+                numbers.append(np.full(len(w), number))
         self.ids = np.concatenate(ids) if ids else np.empty(0, "i8")
+        self.numbers = np.concatenate(numbers) if numbers else np.empty(0, "i8")
         self.words = np.concatenate(rows) if rows else np.empty((0, width), "u8")
         flat = self.words.reshape(-1)
         self.prints = simhash_windows(flat, width)[::width] if len(flat) else np.empty(0, "u8")
@@ -126,6 +136,27 @@ class ItemIndex:
         self.shingle_key, n = key, max(1, len({i for i, _ in seen}))
         self.shingle_weight = np.log1p(n / count) if len(key) else np.empty(0)
         self.unseen = float(np.log1p(n))
+        self._index_shingles()
+
+    def _index_shingles(self) -> None:
+        """Item windows by those of their shingles of which a similar window has one at least."""
+        self.known = np.zeros(1 << 20, dtype=bool)
+        self.known[self.shingle_key >> np.uint64(44)] = True
+        slots, windows = [np.empty(0, "i8")], [np.empty(0, "i8")]
+        for a in range(0, len(self.words), 50_000):
+            s = np.sort(self.shingles(self.words[a : a + 50_000]), axis=1)
+            weight = self.weights(s)
+            weight[:, 1:][s[:, 1:] == s[:, :-1]] = 0
+            order = np.argsort(-weight, axis=1, kind="stable")
+            s, weight = np.take_along_axis(s, order, 1), np.take_along_axis(weight, order, 1)
+            total = np.cumsum(weight, axis=1)
+            window, k = np.nonzero((weight > 0) & (total - weight <= (1 - self.similar) * total[:, -1:] + 1e-9))
+            slots.append(np.searchsorted(self.shingle_key, s[window, k]))
+            windows.append(window + a)
+        slot = np.concatenate(slots)
+        order = np.argsort(slot, kind="stable")
+        self.shingle_windows = np.concatenate(windows)[order].astype("i4")
+        self.shingle_first = np.searchsorted(slot[order], np.arange(len(self.shingle_key) + 1)).astype("i8")
 
     def shingles(self, words: np.ndarray) -> np.ndarray:
         """Hashes of the shingles along the last axis."""
@@ -159,6 +190,39 @@ class ItemIndex:
         pairs = np.unique(np.concatenate(found))
         return pairs >> 32, pairs & 0xFFFFFFFF
 
+    def similar_candidates(self, words: np.ndarray, prints: np.ndarray, inside: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(window, item window) pairs beyond the radius, each once: all that can be similar, in parts.
+
+        words: the word stream, prints: of all its windows, inside: which windows may be used.
+        """
+        m = self.width - self.shingle + 1
+        h = self.shingles(words)
+        at = np.flatnonzero(self.known[h >> np.uint64(44)])
+        k = np.searchsorted(self.shingle_key, h[at])
+        ok = k < len(self.shingle_key)
+        ok[ok] = self.shingle_key[k[ok]] == h[at[ok]]
+        if not ok.any():
+            return
+        slot = np.full(len(h), -1)
+        slot[at[ok]] = k[ok]
+        # of an unknown shingle that a window has twice, only the first place counts
+        unknown = slot < 0
+        for d in range(1, m):
+            unknown[d:] &= h[d:] != h[:-d]
+        missed = np.append(0, np.cumsum(unknown))
+        i = np.flatnonzero(inside & (missed[m:] - missed[:-m] <= (1 - self.similar) * m + 1e-9))
+        s = np.lib.stride_tricks.sliding_window_view(slot, m)[i]
+        lo = np.where(s < 0, 0, self.shingle_first[s])
+        n = np.where(s < 0, 0, self.shingle_first[s + 1] - lo)
+        part = np.cumsum(n.sum(axis=1)) // PAIRS
+        for at in np.split(np.arange(len(i)), np.flatnonzero(np.diff(part)) + 1):
+            size, start = n[at].ravel(), lo[at].ravel()
+            doc = np.repeat(np.repeat(i[at], m), size)
+            item = self.shingle_windows[np.arange(len(doc)) - np.repeat(np.cumsum(size) - size, size) + np.repeat(start, size)]
+            far = np.bitwise_count(prints[doc] ^ self.prints[item]) > self.radius
+            pairs = np.unique(doc[far].astype("i8") << 32 | item[far])
+            yield pairs >> 32, pairs & 0xFFFFFFFF
+
     def compare(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(same words in order, weighted-shingle similarity) of windows a and b, row by row."""
         same = (a == b).all(axis=1)
@@ -180,24 +244,36 @@ def _search(doc_ids: np.ndarray, n: np.ndarray, words: np.ndarray, index: ItemIn
     width = index.width
     doc = np.repeat(np.arange(len(n)), n)
     found = []
+
+    def rows(a: int, i: np.ndarray, j: np.ndarray, same: np.ndarray, like: np.ndarray) -> np.ndarray:
+        like = np.round(like, DIGITS)
+        keep = same | (like >= similar)
+        return np.stack([doc_ids[doc[a + i[keep]]], index.ids[j[keep]], same[keep].astype("i8"), np.round(like[keep] * 10**DIGITS).astype("i8")])
+
     for a in range(0, len(words) - width + 1, SLICE_WORDS):
         w = words[a : a + SLICE_WORDS + width - 1]
         prints = simhash_windows(w, width)
         inside = doc[a : a + len(prints)] == doc[a + width - 1 : a + width - 1 + len(prints)]
         at = np.flatnonzero(inside)
+        view = np.lib.stride_tricks.sliding_window_view(w, width)
         i, j = index.candidates(prints[at])
-        if not len(i):
-            continue
         i = at[i]
-        view = np.lib.stride_tricks.sliding_window_view(w, width)
         same, like = index.compare(view[i], index.words[j])
-        keep = same | (like >= similar)
-        found.append(np.stack([doc_ids[doc[a + i[keep]]], index.ids[j[keep]], same[keep].astype("i8"), np.round(like[keep] * 1e12).astype("i8")]))
+        found.append(rows(a, i, j, same, like))
+        # a document that has an item's very words is as similar to it as can be
+        copied = np.unique(doc[a + i[same]] << 32 | index.numbers[j[same]])
+        for i, j in index.similar_candidates(w, prints, inside):
+            new = ~np.isin(doc[a + i] << 32 | index.numbers[j], copied)
+            i, j = i[new], j[new]
+            found.append(rows(a, i, j, *index.compare(view[i], index.words[j])))
     if not found:
         return None
-    t = pa.table(dict(zip(("doc_id", "item_id", "same", "like"), np.concatenate(found, axis=1), strict=True)))
+    found = np.concatenate(found, axis=1)
+    if not found.size:
+        return None
+    t = pa.table(dict(zip(("doc_id", "item_id", "same", "like"), found, strict=True)))
     t = t.group_by(["doc_id", "item_id"]).aggregate([("same", "sum"), ("like", "max")])
-    like = pc.divide(t.column("like_max").cast(pa.float64()), 1e12)
+    like = pc.divide(t.column("like_max").cast(pa.float64()), 10.0**DIGITS)
     return pa.table([t.column("doc_id"), t.column("item_id"), t.column("same_sum"), like], names=["doc_id", "item_id", "exact_windows", "similarity"]).combine_chunks().to_batches()[0]
 
 
@@ -206,9 +282,9 @@ def leaks(documents: DataFrame, items: DataFrame, width: int = WIDTH, radius: in
 
     exact_windows counts (document window, item window) pairs of the same `width` words in the same
     order; similarity is the greatest weighted-shingle similarity of any pair. Rows with exact_windows
-    = 0 are near matches (similarity >= similar, fingerprints within radius). Null or empty texts, and
-    texts of fewer than `width` words, match nothing; null ids give no row. Texts are searched whole.
-    Repeated rows of a doc_id or item_id count once. Items are the stated query set: their words are
+    = 0 are near matches: all that have a pair of windows with similarity >= similar. Null or empty
+    texts, and texts of fewer than `width` words, match nothing; null ids give no row. Texts are
+    searched whole. Repeated rows of a doc_id or item_id count once. Items are the stated query set: their words are
     gathered, block by block of block_words.
     """
     if width % 2 == 0:
@@ -227,7 +303,7 @@ def leaks(documents: DataFrame, items: DataFrame, width: int = WIDTH, radius: in
     hashed = documents.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select("doc_id", word_hashes(F.col("text")).alias("w"))
     result = None
     for block in blocks:
-        sent = spark.sparkContext.broadcast(ItemIndex(block, width, radius, shingle))
+        sent = spark.sparkContext.broadcast(ItemIndex(block, width, radius, shingle, similar))
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             index = sent.value
