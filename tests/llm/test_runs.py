@@ -58,3 +58,12 @@ def test_one_stop_over_all_partitions_and_empty(spark):
     got = stops(df, least=2, chunk=7).collect()
     assert [(r.start_pos, r.end_pos, r.n_points, r.duration_s) for r in got] == [(0, n - 1, n, n - 1)]
     assert stops(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("chunk", [2, 64])
+def test_missing_times_are_missing_there_only(spark, chunk):
+    n = [10.0, 10.0, 10.0, 11.0, 11.0]
+    rows = [(1, n, n, [0, 5, 9, 20, 27], 0), (2, n, n, [0, 5, 9], 0), (3, n, n, [], 0), (4, n, n, [1, 2, 4, 6, 9, 50], 0), (5, n, n, [3, 4, 5, 6, 8], 0), (6, n, n, None, 0)]
+    got = {(r.path_id, r.start_pos, r.end_pos): r.duration_s for r in stops(spark.createDataFrame(rows, SCHEMA).coalesce(1), chunk=chunk).collect()}
+    want = {1: (9, 7), 2: (9, None), 3: (None, None), 4: (3, 3), 5: (2, 2), 6: (None, None)}
+    assert got == {(i, a, b): d for i, x in want.items() for (a, b), d in zip([(0, 2), (3, 4)], x, strict=True)}

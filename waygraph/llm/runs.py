@@ -52,10 +52,12 @@ def stops(df: DataFrame, tolerance_m: float = TOLERANCE_M, least: int = 1, chunk
     columns are ignored.
     """
     size = F.least(F.size("lat"), F.size("lng"))
-    no_times = F.transform(F.col("lat"), lambda _: F.lit(None).cast("long"))
+    times = F.coalesce(F.col("sampled_at"), F.array().cast("array<long>"))
+    # points beyond the last time have none
+    at = F.concat(times, F.array_repeat(F.lit(None).cast("long"), F.greatest(size - F.size(times), F.lit(0))))
     cut = (
         df.where(F.col("path_id").isNotNull() & F.col("lat").isNotNull() & F.col("lng").isNotNull())
-        .select("path_id", "lat", "lng", F.coalesce(F.col("sampled_at"), no_times).alias("at"), size.cast("long").alias("size"))
+        .select("path_id", "lat", "lng", at.alias("at"), size.cast("long").alias("size"))
         .where("size > 0")
         .select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("size") - 1, F.lit(chunk).cast("long"))).alias("start"))
     )
@@ -74,12 +76,10 @@ def stops(df: DataFrame, tolerance_m: float = TOLERANCE_M, least: int = 1, chunk
         n, lat = _flat(t, "lat")
         lat = _numpy(lat, np.nan)
         lng = _numpy(_flat(t, "lng")[1], np.nan)
-        n_at, at = _flat(t, "at")
+        at = _flat(t, "at")[1]
         path = np.repeat(t.column("path_id").to_numpy(), n)
         first = np.cumsum(n) - n
         pos = np.arange(len(path)) - np.repeat(first - t.column("start").to_numpy(), n)
-        if not np.array_equal(n_at, n):  # times that don't fit the points are none
-            at = pa.nulls(len(path), pa.int64())
         no_time = at.is_null().to_numpy(zero_copy_only=False)
         at = _numpy(at, 0)
         with np.errstate(invalid="ignore"):
