@@ -6,6 +6,7 @@ from tests.graphs import LEAVE, SIX, every_pair, floyd, frames, positions, rando
 from waygraph.operators import kernel, relax
 from waygraph.operators.hierarchy import Options, build_index, heuristic_scale, index_stats, overlay_route
 from waygraph.operators.route import route
+from waygraph.plans import graphs
 
 
 def network(nodes, edges, cluster=None):
@@ -145,3 +146,25 @@ def test_options_and_identity(spark):
         route(g, every_pair(spark, 6), "nothing")
     with pytest.raises(ValueError):
         kernel.collect_network(g.nodes, g.edges, limit=3)
+
+
+def test_the_registered_astar_aims(spark, tmp_path, monkeypatch):
+    side = range(8)
+    ids = {(x, y): 10 * x + y for x in side for y in side}
+    save = lambda rows, schema, name: spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    save([(i, 1.0, 1.0, 100.0 * x, 100.0 * y) for (x, y), i in ids.items()], "id long, lat double, lon double, x_m double, y_m double", "graph")
+    steps = [(i, ids[x + a, y + b], 101.5 + (3 * i % 7)) for (x, y), i in ids.items() for a, b in ((0, 1), (1, 0), (0, -1), (-1, 0)) if (x + a, y + b) in ids]
+    save(steps, "src long, dst long, distance_m double", "graph_edges")
+    save([(k, 33, t) for k, t in enumerate((33, 34, 53, 77, 999))], "query_id long, source long, target long", "queries")
+    asked = {}
+
+    def spy(net, queries, algorithm):
+        asked[algorithm] = kernel_route(net, queries, algorithm).collect()
+        return kernel_route(net, queries, algorithm)
+
+    kernel_route = kernel.kernel_route
+    monkeypatch.setattr(kernel, "kernel_route", spy)
+    one, two = (sorted(map(tuple, f(spark, str(tmp_path)).collect())) for f in (graphs.kernel_dijkstra, graphs.kernel_astar))
+    assert one == two
+    blind, aimed = (sum(r.expanded or 0 for r in asked[k]) for k in ("dijkstra", "astar"))
+    assert aimed < blind / 2

@@ -223,7 +223,9 @@ def bidir_distances(spark, d):
 
 
 def _kernel(spark, d, algorithm):
-    net = kernel.collect_network(nodes(spark, d), edges(spark, d))
+    n, scale = _scale(spark, d) if algorithm == "astar" else (nodes(spark, d), 0.0)
+    net = kernel.collect_network(n, edges(spark, d))
+    net.scale = scale
     return kernel.kernel_route(net, queries_of(spark, d), algorithm).select("query_id", "status", F.col("distance").cast("bigint").alias("distance"))
 
 
@@ -235,6 +237,7 @@ def kernel_dijkstra(spark, d):
 
 @add("kernel_astar", _P2P)
 def kernel_astar(spark, d):
+    """The same with the scaled straight line in the queue's order; where an end of an edge has no position, the scale is 0."""
     return _kernel(spark, d, "astar")
 
 
