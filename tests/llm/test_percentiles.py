@@ -71,3 +71,12 @@ def test_empty_nulls_and_overflow(spark):
     assert [(r.query_id, r.n, r.median) for r in got] == [(2, 2, 0.0)]
     assert percentiles(df.limit(0), "query_id", "duration_ns", "repetition").count() == 0
     assert combined(summaries(df.limit(0), F.col("day"), "query_id", "duration_ns", "repetition"), "query_id", "duration_ns").count() == 0
+
+
+def test_a_null_tie_is_a_reading(spark):
+    rows = [(1, None, 10), (1, 0, 10), (1, 1, 40), (1, None, 70), (1, None, 70), (2, None, 5), (3, 1, None)]
+    df = spark.createDataFrame([(*r, 0, "x") for r in rows], SCHEMA)
+    got = {r.query_id: (r.n, r["median"]) for r in percentiles(df, "query_id", "duration_ns", "repetition").collect()}
+    assert got == {1: (4, 25.0), 2: (1, 5.0)}
+    kept = summaries(df, F.col("day"), "query_id", "duration_ns", "repetition").groupBy("query_id").agg(F.sum("weight").alias("n")).collect()
+    assert {r.query_id: r.n for r in kept} == {1: 4, 2: 1}

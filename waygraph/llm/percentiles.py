@@ -40,18 +40,22 @@ def _spot(n: Column, p: str) -> tuple[Column, Column]:
     return F.floor(at / f.denominator).cast("long"), at % f.denominator
 
 
+def _readings(df: DataFrame, *groups: str) -> DataFrame:
+    """Rows with a group and a value; a null tie is a tie of its own, apart from all numbers."""
+    df = df.dropna(subset=[*groups, "v"])
+    return df.withColumn("no_tie", F.col("tie").isNull().cast("long")).withColumn("tie", F.coalesce("tie", F.lit(0).cast("long")))
+
+
 def percentiles(df: DataFrame, group: str, value: str, tie: str, probs: Sequence[str] = PROBS) -> DataFrame:
     """(group, n, median, p95, p99): exact interpolated percentiles of `value`, linear between ranks.
 
     Null values and null groups take no part; a group with null values only gives no row. Rows equal
-    in (group, value, tie) are one reading. Equal values of different readings count each. One reading
+    in (group, value, tie) are one reading, null being a tie like any other. Equal values of different readings count each. One reading
     gives itself at every percentile. An empty table gives no row; extra columns are ignored. Values
     are 64-bit integers; interpolation is in doubles, so exact for values up to 2^52.
     """
     fr = [Fraction(p) for p in probs]
-    x = df.select(F.col(group).cast("long").alias("g"), F.col(value).cast("long").alias("v"), F.col(tie).cast("long").alias("tie")).where(
-        "g is not null and v is not null and tie is not null"
-    )
+    x = _readings(df.select(F.col(group).cast("long").alias("g"), F.col(value).cast("long").alias("v"), F.col(tie).cast("long").alias("tie")), "g")
     answer = T.StructType([T.StructField("g", T.LongType()), T.StructField("n", T.LongType())] + [T.StructField(_name(p), T.DoubleType()) for p in probs])
 
     def local(c: dict[str, np.ndarray], start: np.ndarray, end: np.ndarray) -> pa.Table:
@@ -65,7 +69,7 @@ def percentiles(df: DataFrame, group: str, value: str, tie: str, probs: Sequence
             out[_name(p)] = a + (b - a) * rem / f.denominator
         return pa.table(out)
 
-    srt = sort_groups(x, ["g"], "v", ["tie"], [], local, answer, "percentiles")
+    srt = sort_groups(x, ["g"], "v", ["tie", "no_tie"], [], local, answer, "percentiles")
     spots = {}
     for i, p in enumerate(probs):
         spots[f"lo{i}"] = lambda n, p=p: _spot(n, p)[0]
@@ -86,8 +90,8 @@ def summaries(df: DataFrame, part: Column, group: str, value: str, tie: str, err
     `part` is a whole-number expression, such as the day since the epoch. Nulls take no part. The
     weights of a (part, group) add up to its number of readings.
     """
-    x = df.select(part.cast("long").alias("part"), F.col(group).cast("long").alias("g"), F.col(value).cast("long").alias("v"), F.col(tie).cast("long").alias("tie")).where(
-        "part is not null and g is not null and v is not null and tie is not null"
+    x = _readings(
+        df.select(part.cast("long").alias("part"), F.col(group).cast("long").alias("g"), F.col(value).cast("long").alias("v"), F.col(tie).cast("long").alias("tie")), "part", "g"
     )
     answer = T.StructType([T.StructField(k, T.LongType()) for k in ("part", "g", "v", "weight")])
 
@@ -101,7 +105,7 @@ def summaries(df: DataFrame, part: Column, group: str, value: str, tie: str, err
         hi = np.minimum(lo + np.repeat(block, k), np.repeat(n, k))
         return pa.table({"part": np.repeat(c["part"][start], k), "g": np.repeat(c["g"][start], k), "v": c["v"][first + (lo + hi - 1) // 2], "weight": hi - lo})
 
-    srt = sort_groups(x, ["part", "g"], "v", ["tie"], [], local, answer, "summaries")
+    srt = sort_groups(x, ["part", "g"], "v", ["tie", "no_tie"], [], local, answer, "summaries")
     over = Window.partitionBy("part", "g").orderBy("_pid")
     counts = srt.split_counts().select(
         "part", "g", "_pid", "_start", (F.sum("_n").over(over) - F.col("_n")).alias("off"), F.sum("_n").over(Window.partitionBy("part", "g")).alias("n")
