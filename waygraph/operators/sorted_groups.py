@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..runtime import shuffle_width, written
+from ..runtime import sort_width, written
 
 #: what a local function gets: columns of one partition, and the start and end row of each whole group
 Local = Callable[[dict[str, np.ndarray], np.ndarray, np.ndarray], pa.Table]
@@ -97,7 +97,7 @@ def sort_groups(
     empty results. The result is written once to the shared folder.
     """
     used = [*group, value, *tie, *[c for c in rest if c not in tie]]
-    n = partitions or shuffle_width(df.sparkSession)
+    n = partitions or sort_width(df)
     srt = df.select(*used).repartitionByRange(n, *group, value, *tie).sortWithinPartitions(*group, value, *tie)
     srt = srt.withColumn("_pid", F.spark_partition_id())
     base = {f.name: f for f in srt.schema.fields}

@@ -3,14 +3,15 @@
 Every reading of a numeric field is judged against its own source:
 
 * impossible  - outside the field's plausible range;
-* far         - peak of the seasonal residual that lies beyond the robust distance (10 s from m);
-* tail        - peak beyond the cutoff that a generalised Pareto fit of the source's peaks sets at a
-                fixed risk;
+* tail        - peak of the seasonal residual beyond the cutoff that a generalised Pareto tail, fitted
+                to all peaks of the source by maximum likelihood, sets at a fixed risk;
+* far         - such a reading that also lies beyond the robust distance (10 s from m);
 * frozen      - five or more successive readings (by repetition, nulls left out) with one non-zero value.
 
 Residuals are taken from the source's hourly level; the threshold over which residuals count as peaks
-is the smaller of 3 s and 10 s less the largest hourly shift, so no reading beyond 10 s can miss being
-a peak, and the exact robust rule is then checked on peaks only.
+is the smaller of 3 s and 10 s less the largest hourly shift, and the cutoff at most the latter, so that
+no reading beyond 10 s of its source's median can stay below it. The robust rule is then checked on
+the readings beyond the cutoff only.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..runtime import shuffle_width, written
+from ..runtime import sort_width, written
 from .sorted_groups import breaks, gather, sort_groups
 
 DAY_NS = 86_400_000_000_000
@@ -51,26 +52,45 @@ class Params:
     stuck: int = 5
 
 
-def gpd_cutoff(n: np.ndarray, k: np.ndarray, mean: np.ndarray, var: np.ndarray, u: np.ndarray, risk: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(shape, scale, cutoff) of a generalised Pareto tail over u from the peaks' moments.
+#: places at which a tail's profile likelihood is taken, of excesses over their mean: shape over scale,
+#: below 0 as a share of the least possible value, above 0 as it is, and 0 (an exponential tail)
+BELOW = tuple(-(19 - 2 * j) / 20 for j in range(10))
+ABOVE = tuple(2 ** (j / 2) for j in range(-8, 15))
+#: least shape, and the spread of shapes about 0 that is taken for granted before any peak is seen
+LEAST_SHAPE, PRIOR = -0.5, 0.3
 
-    n readings, k peaks with excess mean and variance. Fewer than 8 peaks or no spread: no fit, the
-    cutoff is infinite. Shape is kept in [-0.5, 0.45], where moment estimates exist.
+
+def tail_grid(mean: np.ndarray, most: np.ndarray) -> np.ndarray:
+    """Grid of shape / scale, one row a place and one column a tail with these mean and greatest excesses."""
+    limit = mean / most
+    return np.concatenate([np.outer(BELOW, limit), np.zeros((1, len(mean))), np.outer(ABOVE, np.ones(len(mean)))])
+
+
+def tail_cutoffs(n: np.ndarray, k: np.ndarray, mean: np.ndarray, grid: np.ndarray, logs: np.ndarray, u: np.ndarray, cap: np.ndarray, risk: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(shape, scale, cutoff) of generalised Pareto tails over u by maximum likelihood, one a column.
+
+    n readings and k >= 1 peaks with mean excess; logs: sums of log(1 + grid * excess / mean). On the
+    profile (Grimshaw) the shape is logs / k and the scale shape / grid, so the likelihood needs no
+    more than these sums, which add up over partitions. A weak normal prior keeps the shape near 0
+    where there are few peaks; one peak gives an exponential tail. The cutoff is exceeded by a share
+    `risk` of readings; one beyond `cap` is brought back to it, since spikes among the peaks can make
+    a tail so heavy that it would hide them.
     """
     with np.errstate(all="ignore"):
-        ratio = mean * mean / var
-        shape = np.clip(0.5 * (1 - ratio), -0.5, 0.45)
-        scale = mean * (1 - shape)
+        shape = logs / k
+        scale = np.where(grid == 0, 1.0, shape / np.where(grid == 0, 1.0, grid))
+        fit = np.where(shape >= LEAST_SHAPE, -np.log(scale) - shape - shape * shape / (2 * PRIOR * PRIOR * k), -np.inf)
+        best = np.argmax(fit, axis=0), np.arange(len(k))
+        shape, scale = shape[best], scale[best] * mean
         x = risk * n / k
-        over = np.where(np.abs(shape) < 1e-6, -scale * np.log(x), scale / np.where(shape == 0, 1, shape) * (x ** (-shape) - 1))
-        ok = (k >= 8) & (var > 0) & (mean > 0)
-        return np.where(ok, shape, np.nan), np.where(ok, scale, np.nan), np.where(ok, u + np.maximum(over, 0), np.inf)
+        over = np.where(shape == 0, -scale * np.log(x), scale / np.where(shape == 0, 1, shape) * (x**-shape - 1))
+        return shape, scale, np.minimum(u + np.maximum(over, 0), cap)
 
 
 _FLAGS = T.StructType(
     [
         T.StructField("query_id", T.LongType()), T.StructField("field", T.IntegerType()), T.StructField("repetition", T.LongType()),
-        T.StructField("value", T.LongType()), T.StructField("far", T.BooleanType()), T.StructField("tail", T.BooleanType()),
+        T.StructField("value", T.LongType()), T.StructField("far", T.BooleanType()),
         T.StructField("m", T.DoubleType()), T.StructField("s", T.DoubleType()), T.StructField("cutoff", T.DoubleType()),
     ]
 )
@@ -85,8 +105,8 @@ def _median(v: np.ndarray) -> float:
     return (float(p[h - 1]) + float(p[h])) / 2
 
 
-def _judge(v: np.ndarray, hour: np.ndarray, both: bool, p: Params) -> tuple[np.ndarray, np.ndarray, np.ndarray, float, float, float]:
-    """Peaks (indices), far and tail flags of one source's sorted values."""
+def _peaks(v: np.ndarray, hour: np.ndarray, both: bool, p: Params) -> tuple[np.ndarray, np.ndarray, np.ndarray, tuple[float, ...]]:
+    """Peaks (indices), their size and far flag of one source's sorted values; (m, s, threshold, cap)."""
     n = len(v)
     h = n // 2
     m = float(v[h]) if n % 2 else (float(v[h - 1]) + float(v[h])) / 2
@@ -96,21 +116,17 @@ def _judge(v: np.ndarray, hour: np.ndarray, both: bool, p: Params) -> tuple[np.n
     level = np.bincount(hour, clipped, 24)
     count = np.bincount(hour, minlength=24)
     level = np.where(count > 0, level / np.maximum(count, 1), 0.0) - clipped.mean()
+    cap = p.far * s - float(np.abs(np.where(count > 0, level, 0.0)).max())
+    u = min(p.peak * s, cap)
     r = d - level[hour]
-    u = min(p.peak * s, p.far * s - float(np.abs(level).max()))
     size = np.abs(r) if both else r
     peaks = np.flatnonzero(size > u)
-    excess = size[peaks] - u
-    fit = excess[excess <= p.far * s - u]
-    cut = np.inf
-    if len(fit) >= 8:
-        cut = float(gpd_cutoff(*[np.array([x], dtype=float) for x in (n, len(fit), fit.mean(), fit.var(), u)], p.risk)[2][0])
     far = (np.abs(d[peaks]) if both else d[peaks]) > p.far * s
-    return peaks, far, size[peaks] > cut, m, s, cut
+    return peaks, size[peaks], far, (m, s, u, cap)
 
 
 def peaks_over_threshold(df: DataFrame, fields: tuple[Field, ...] = TIMING_FIELDS, params: Params = Params()) -> DataFrame:
-    """Readings that are far off or beyond the tail cutoff, one row per (reading, field).
+    """Readings beyond their source's tail cutoff, one row per (reading, field); far: beyond 10 s as well.
 
     df: query_id, repetition, recorded_at and the fields' columns. Null or impossible values of a field
     take no part in that field. A source with one reading has s = 0 and no peak; equal readings give
@@ -130,22 +146,30 @@ def peaks_over_threshold(df: DataFrame, fields: tuple[Field, ...] = TIMING_FIELD
     )
 
     def local(c: dict[str, np.ndarray], start: np.ndarray, end: np.ndarray) -> pa.Table:
-        out: dict[str, list] = {k: [] for k in _FLAGS.fieldNames()}
+        at, sizes, fars, about, count, total = [], [], [], [], [], []
         for a, b in zip(start, end, strict=True):
-            side = both[int(c["field"][a])]
-            at, far, tail, m, s, cut = _judge(c["value"][a:b], c["hour"][a:b], side, params)
-            hit = far | tail
-            if not hit.any():
-                continue
-            at = at[hit] + a
-            for k in ("query_id", "field", "repetition", "value"):
-                out[k].append(c[k][at])
-            out["far"].append(far[hit])
-            out["tail"].append(tail[hit])
-            for k, x in (("m", m), ("s", s), ("cutoff", cut)):
-                out[k].append(np.full(len(at), x))
-        kinds = {"query_id": "i8", "field": "i4", "repetition": "i8", "value": "i8", "far": "?", "tail": "?"}
-        return pa.table({k: np.concatenate(x) if x else np.empty(0, kinds.get(k, "f8")) for k, x in out.items()})
+            peaks, size, far, numbers = _peaks(c["value"][a:b], c["hour"][a:b], both[int(c["field"][a])], params)
+            if len(peaks):
+                at.append(peaks + a)
+                sizes.append(size)
+                fars.append(far)
+                about.append(numbers)
+                count.append(len(peaks))
+                total.append(b - a)
+        if not at:
+            return pa.table({f.name: pa.array([], pa.float64()) for f in _FLAGS.fields})
+        at, size, far, k = np.concatenate(at), np.concatenate(sizes), np.concatenate(fars), np.array(count)
+        m, s, u, cap = np.array(about).T
+        first = np.cumsum(k) - k
+        excess = size - np.repeat(u, k)
+        mean, most = np.add.reduceat(excess, first) / k, np.maximum.reduceat(excess, first)
+        grid = tail_grid(mean, most)
+        logs = np.stack([np.add.reduceat(np.log1p(np.repeat(g / mean, k) * excess), first) for g in grid])
+        cut = tail_cutoffs(np.array(total), k, mean, grid, logs, u, cap, params.risk)[2]
+        hit = size > np.repeat(cut, k)
+        at = at[hit]
+        out = {x: c[x][at] for x in ("query_id", "field", "repetition", "value")}
+        return pa.table(out | {"far": far[hit]} | {x: np.repeat(y, k)[hit] for x, y in (("m", m), ("s", s), ("cutoff", cut))})
 
     g = ["query_id", "field"]
     srt = sort_groups(long, g, "value", ["repetition"], ["hour"], local, _FLAGS, "spikes")
@@ -183,31 +207,53 @@ def _split_peaks(srt, both: list[bool], p: Params) -> DataFrame:
     over = Window.partitionBy(*g)
     level = hourly.select(*g, "hour", (F.col("t") / F.col("k") - F.sum("t").over(over) / F.sum("k").over(over)).alias("level"))
     level = level.withColumn("shift", F.max(F.abs("level")).over(over))
-    u = F.least(p.peak * F.col("s"), p.far * F.col("s") - F.col("shift"))
+    cap = p.far * F.col("s") - F.col("shift")
     two = F.array(*[F.lit(b) for b in both])[F.col("field")]
     side = lambda c: F.when(two, F.abs(c)).otherwise(c)
     peaks = (
         x.join(F.broadcast(level), [*g, "hour"])
-        .withColumn("u", u)
+        .withColumn("cap", cap)
+        .withColumn("u", F.least(p.peak * F.col("s"), F.col("cap")))
         .withColumn("size", side(F.col("d") - F.col("level")))
         .where("size > u")
         .withColumn("e", F.col("size") - F.col("u"))
     )
-    fitted = F.when(F.col("e") <= p.far * F.col("s") - F.col("u"), F.col("e"))
-    moments = peaks.groupBy(*g).agg(
-        F.first("n").cast("double").alias("n"), F.count(fitted).cast("double").alias("k"), F.avg(fitted).alias("mean"), F.var_pop(fitted).alias("var"), F.first("u").alias("u")
-    )
+    first = [F.first(c).alias(c) for c in ("u", "cap")]
+    about = written(peaks.groupBy(*g).agg(F.first("n").cast("double").alias("n"), F.count("*").cast("double").alias("k"), F.avg("e").alias("mean"), F.max("e").alias("most"), *first), "tails")
+
+    def add_logs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Sums of a batch; its rows come group by group."""
+        for b in batches:
+            if not b.num_rows:
+                continue
+            c = {k: b.column(k).to_numpy() for k in (*g, "e", "mean", "most")}
+            start = breaks(c["query_id"], c["field"])
+            k = np.diff(np.append(start, b.num_rows))
+            grid = tail_grid(c["mean"][start], c["most"][start])
+            sums = [np.add.reduceat(np.log1p(np.repeat(t / c["mean"][start], k) * c["e"]), start) for t in grid]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(np.tile(c["query_id"][start], len(grid)), pa.int64()), pa.array(np.tile(c["field"][start], len(grid)), pa.int32()),
+                    pa.array(np.repeat(np.arange(len(grid)), len(start)), pa.int32()), pa.array(np.concatenate(sums), pa.float64()),
+                ],
+                names=["query_id", "field", "place", "logs"],
+            )
+
+    parts = peaks.select(*g, "e").join(F.broadcast(about.select(*g, "mean", "most")), g).mapInArrow(add_logs, "query_id long, field int, place int, logs double")
+    # a sum a place of the grid: as many as the grid has
+    logs = parts.groupBy(*g, "place").agg(F.sum("logs").alias("logs")).groupBy(*g).agg(F.sort_array(F.collect_list(F.struct("place", "logs"))).alias("logs"))
 
     def solve(frames):
         for f in frames:
-            f["cutoff"] = gpd_cutoff(*[f[c].fillna(0).to_numpy() for c in ("n", "k", "mean", "var", "u")], p.risk)[2]
-            yield f[[*g, "cutoff"]]
+            if len(f):
+                c = {k: f[k].to_numpy() for k in ("n", "k", "mean", "most", "u", "cap")}
+                sums = np.array([[x["logs"] for x in row] for row in f["logs"]]).T
+                f["cutoff"] = tail_cutoffs(c["n"], c["k"], c["mean"], tail_grid(c["mean"], c["most"]), sums, c["u"], c["cap"], p.risk)[2]
+                yield f[[*g, "cutoff"]]
 
-    cuts = moments.mapInPandas(solve, "query_id long, field int, cutoff double")
-    flagged = peaks.join(F.broadcast(cuts), g).select(
-        *g, "repetition", "value", (side(F.col("d")) > p.far * F.col("s")).alias("far"), (F.col("size") > F.col("cutoff")).alias("tail"), "m", "s", "cutoff"
-    )
-    return flagged.where("far or tail")
+    cuts = about.join(logs, g).mapInPandas(solve, "query_id long, field int, cutoff double")
+    flagged = peaks.join(F.broadcast(cuts), g).where("size > cutoff")
+    return flagged.select(*g, "repetition", "value", (side(F.col("d")) > p.far * F.col("s")).alias("far"), "m", "s", "cutoff")
 
 
 _RUNS = "kind int, query_id long, repetition long, field int, pid int, side int, value long, n long, whole boolean"
@@ -222,7 +268,7 @@ def frozen_readings(df: DataFrame, fields: tuple[Field, ...] = TIMING_FIELDS, st
     most two a partition and field).
     """
     columns = [f.column for f in fields]
-    n = shuffle_width(df.sparkSession)
+    n = sort_width(df)
     rows = df.where(F.col("query_id").isNotNull() & F.col("repetition").isNotNull()).select(
         "query_id", F.col("repetition").cast("long").alias("repetition"), *columns
     )
@@ -268,20 +314,13 @@ def frozen_readings(df: DataFrame, fields: tuple[Field, ...] = TIMING_FIELDS, st
 
     table = written(srt.mapInArrow(run, _RUNS), "frozen")
 
-    def merge(frames):
-        import pandas as pd
-
-        got = [f for f in frames if len(f)]
-        if not got:
-            return
-        f = pd.concat(got, ignore_index=True)
-        f = f.sort_values(["field", "pid", "side"], ignore_index=True)
-        # a run goes on where the piece before it, at the end of the partition before, has its key and value
-        new = ~((f["field"] == f["field"].shift()) & (f["pid"] != f["pid"].shift()) & (f["query_id"] == f["query_id"].shift()) & (f["value"] == f["value"].shift()))
-        f["total"] = f.groupby(new.cumsum())["n"].transform("sum")
-        yield f[["field", "pid", "side", "total"]]
-
-    joined = table.where("kind = 2").coalesce(1).mapInPandas(merge, "field int, pid int, side int, total long")
+    # of one source and field there are at most two pieces a partition; a piece goes on where the piece
+    # before it ended the partition before with the same value
+    over = Window.partitionBy("query_id", "field").orderBy("pid", "side")
+    fresh = ~F.coalesce((F.lag("value").over(over) == F.col("value")) & (F.lag("pid").over(over) != F.col("pid")), F.lit(False))
+    pieces = table.where("kind = 2").withColumn("run", F.sum(fresh.cast("int")).over(over))
+    whole = F.sum("n").over(Window.partitionBy("query_id", "field", "run"))
+    joined = pieces.select("field", "pid", "side", whole.alias("total"))
     edges = table.where("kind = 1 and value <> 0").join(F.broadcast(joined.where(F.col("total") >= stuck)), ["field", "pid", "side"])
     cols = ["query_id", "repetition", "field"]
     return table.where("kind = 0").select(*cols).union(edges.select(*cols))
@@ -304,7 +343,7 @@ def implausible(df: DataFrame, fields: tuple[Field, ...] = TIMING_FIELDS, params
     none. Extra columns are ignored.
     """
     none = F.lit(False)
-    pot = peaks_over_threshold(df, fields, params).select("query_id", "repetition", none.alias("impossible"), "far", none.alias("frozen"), "tail")
+    pot = peaks_over_threshold(df, fields, params).select("query_id", "repetition", none.alias("impossible"), "far", none.alias("frozen"), F.lit(True).alias("tail"))
     imp = impossible_readings(df, fields).select("query_id", "repetition", F.lit(True).alias("impossible"), none.alias("far"), none.alias("frozen"), none.alias("tail"))
     fro = frozen_readings(df, fields, params.stuck).select("query_id", "repetition", none.alias("impossible"), none.alias("far"), F.lit(True).alias("frozen"), none.alias("tail"))
     kinds = ("impossible", "far", "frozen", "tail")

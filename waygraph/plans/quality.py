@@ -37,16 +37,44 @@ def p3_found(spark, d):
     return found.where("impossible or far or frozen").select("query_id", "repetition")
 
 
-@add("p3_reasons")
+_TAILS = _P3[: _P3.index("SELECT l.query_id, CAST")].rstrip() + """,
+h AS (SELECT DISTINCT l.query_id, l.f, l.repetition, l.v, s.m, s.s, l.v - s.m AS d, coalesce(hour(t.recorded_at), 0) AS hr,
+      greatest(least(l.v - s.m, 10 * s.s), -10 * s.s) AS c
+      FROM l JOIN s ON l.query_id = s.query_id AND l.f = s.f JOIN timings AS t ON t.query_id = l.query_id AND t.repetition = l.repetition),
+lv AS (SELECT query_id, f, hr, avg(c) - (SELECT avg(c) FROM h AS o WHERE o.query_id = h.query_id AND o.f = h.f) AS level FROM h GROUP BY query_id, f, hr),
+cp AS (SELECT query_id, f, max(abs(level)) AS shift FROM lv GROUP BY query_id, f),
+x AS (SELECT h.*, 10 * h.s - cp.shift AS cap, least(3 * h.s, 10 * h.s - cp.shift) AS u,
+      CASE WHEN h.f = 0 THEN abs(h.d - lv.level) ELSE h.d - lv.level END AS size, count(*) OVER (PARTITION BY h.query_id, h.f) AS n
+      FROM h JOIN lv ON h.query_id = lv.query_id AND h.f = lv.f AND h.hr = lv.hr JOIN cp ON h.query_id = cp.query_id AND h.f = cp.f),
+pk AS (SELECT *, size - u AS e FROM x WHERE size > u),
+ab AS (SELECT query_id, f, any_value(n) AS n, count(*) AS k, avg(e) AS mean, max(e) AS most, any_value(u) AS u, any_value(cap) AS cap FROM pk GROUP BY query_id, f),
+gr AS (SELECT ab.*, j, CASE WHEN j < 10 THEN -(19 - 2 * j) / 20.0::DOUBLE * mean / most WHEN j = 10 THEN 0.0::DOUBLE ELSE pow(2.0::DOUBLE, (j - 19) / 2.0::DOUBLE) END AS t FROM ab, range(34) AS y(j)),
+lg AS (SELECT gr.query_id, gr.f, j, any_value(gr.t) AS t, avg(ln(1 + gr.t / gr.mean * pk.e)) AS xi FROM gr JOIN pk ON gr.query_id = pk.query_id AND gr.f = pk.f GROUP BY gr.query_id, gr.f, j),
+sc AS (SELECT lg.*, ab.n, ab.k, ab.mean, ab.u, ab.cap, CASE WHEN t = 0 THEN 1.0::DOUBLE ELSE xi / t END AS scale FROM lg JOIN ab ON lg.query_id = ab.query_id AND lg.f = ab.f),
+ft AS (SELECT *, row_number() OVER (PARTITION BY query_id, f ORDER BY -ln(scale) - xi - xi * xi / (2 * 0.3::DOUBLE * 0.3::DOUBLE * k) DESC, j) AS best FROM sc WHERE xi >= -0.5 AND scale > 0),
+cu AS (SELECT query_id, f, least(cap, u + greatest(0, CASE WHEN xi = 0 THEN -mean * scale * ln(1e-5::DOUBLE * n / k) ELSE mean * scale / xi * (pow(1e-5::DOUBLE * n / k, -xi) - 1) END)) AS cutoff FROM ft WHERE best = 1),
+tl AS (SELECT pk.query_id, pk.f AS field, CAST(pk.repetition AS BIGINT) AS repetition, pk.v AS value,
+  CASE WHEN pk.f = 0 THEN abs(pk.d) ELSE pk.d END > 10 * pk.s AS far, CAST(pk.m AS DOUBLE) AS m, CAST(pk.s AS DOUBLE) AS s, round(cutoff, 0) AS cutoff
+FROM pk JOIN cu ON pk.query_id = cu.query_id AND pk.f = cu.f WHERE pk.size > cutoff)
+"""
+_REASONS = _TAILS + """, why AS (SELECT query_id, repetition, FALSE AS impossible, far, FALSE AS frozen, TRUE AS tail FROM tl
+UNION ALL SELECT query_id, repetition, FALSE, FALSE, TRUE, FALSE FROM z2 WHERE c >= 5 AND v <> 0
+UNION ALL SELECT query_id, repetition, TRUE, FALSE, FALSE, FALSE FROM r WHERE d <= 0 OR d > 86400000000000 OR w < 0 OR w > 86400000000000)
+SELECT query_id, CAST(repetition AS BIGINT) AS repetition, bool_or(impossible) AS impossible, bool_or(far) AS far, bool_or(frozen) AS frozen, bool_or(tail) AS tail
+FROM why GROUP BY query_id, repetition
+"""
+
+
+@add("p3_reasons", _REASONS)
 def p3_reasons(spark, d):
     """Every implausible reading with its reasons, the fitted tail among them."""
     return spikes.implausible(table(spark, d, "timings"))
 
 
-@add("p3_tails")
+@add("p3_tails", _TAILS + "SELECT * FROM tl")
 def p3_tails(spark, d):
-    """Readings far off or beyond the tail cutoff, with their source's centre, spread and cutoff."""
-    return spikes.peaks_over_threshold(table(spark, d, "timings"))
+    """Readings beyond their source's tail cutoff, with its centre, spread and cutoff (whole nanoseconds)."""
+    return spikes.peaks_over_threshold(table(spark, d, "timings")).withColumn("cutoff", F.round("cutoff"))
 
 
 _P4 = """

@@ -69,6 +69,21 @@ def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: bytes of input files (compressed) that one task of a sort takes on average
+TASK_BYTES = 64 << 20
+
+
+def sort_width(df: DataFrame) -> int:
+    """Partitions for a sort of df: as many as the session's shuffles have, more where the input is large.
+
+    A sorted partition is held by one task, so its size must not grow with the input.
+    """
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    size = sum(x for x in sizes if x < 1 << 60)  # beyond that the size is not known
+    return max(shuffle_width(df.sparkSession), min(-(-size // TASK_BYTES), 1_000_000))
+
+
 def ship(spark: SparkSession) -> None:
     """Send this package to the executors' Python workers, once a session."""
     sc = spark.sparkContext
