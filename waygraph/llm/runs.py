@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from ..functions.geo import ground_distance
 from ..operators.sorted_groups import breaks, gather
-from ..runtime import shuffle_width, written
+from ..runtime import sort_width, written
 
 TOLERANCE_M = 3.0
 CHUNK = 1024
@@ -63,7 +63,7 @@ def stops(df: DataFrame, tolerance_m: float = TOLERANCE_M, least: int = 1, chunk
     )
     part = lambda c: F.slice(c, F.col("start").cast("int") + 1, F.least(F.lit(chunk), F.col("size") - F.col("start")).cast("int"))
     chunks = cut.select("path_id", "start", "size", part("lat").alias("lat"), part("lng").alias("lng"), part("at").alias("at"))
-    srt = chunks.repartitionByRange(shuffle_width(df.sparkSession), "path_id", "start").sortWithinPartitions("path_id", "start")
+    srt = chunks.repartitionByRange(sort_width(df), "path_id", "start").sortWithinPartitions("path_id", "start")
     srt = srt.withColumn("pid", F.spark_partition_id())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -99,13 +99,8 @@ def stops(df: DataFrame, tolerance_m: float = TOLERANCE_M, least: int = 1, chunk
 
     table = written(srt.mapInArrow(run, _OUT), "runs")
 
-    def join(frames):
-        import pandas as pd
-
-        got = [f for f in frames if len(f)]
-        if not got:
-            return
-        f = pd.concat(got, ignore_index=True).sort_values(["path_id", "start_pos"], ignore_index=True)
+    def join(f):
+        f = f.sort_values(["path_id", "start_pos"], ignore_index=True)
         before = f.shift()
         with np.errstate(invalid="ignore"):
             close = ground_distance(before["last_lat"].to_numpy(), before["last_lng"].to_numpy(), f["lat"].to_numpy(), f["lng"].to_numpy()) <= tolerance_m
@@ -115,9 +110,10 @@ def stops(df: DataFrame, tolerance_m: float = TOLERANCE_M, least: int = 1, chunk
         out = f.groupby("run").head(1).set_index("run")
         for c in ("end_pos", "last_lat", "last_lng", "end_at"):
             out[c] = last[c]
-        yield out[_NAMES]
+        return out[_NAMES]
 
-    joined = table.where("edge").coalesce(1).mapInPandas(join, _OUT)
+    # of one path there are at most two summaries a sorted partition
+    joined = table.where("edge").groupBy("path_id").applyInPandas(join, _OUT)
     points = F.col("end_pos") - F.col("start_pos") + 1
     return (
         table.where("not edge")
