@@ -5,7 +5,7 @@ import re
 import numpy as np
 import pytest
 
-from waygraph.llm.leaks import ItemIndex, leaks, simhash_windows
+from waygraph.llm.leaks import Windows, item_width, leaks, simhash_widths, simhash_windows
 
 WORD = re.compile(r"[^\W_]+")
 DOCS, ITEMS = "doc_id long, text string, item_id string", "item_id long, suite string, text string"
@@ -33,13 +33,21 @@ def test_simhash_is_the_majority_of_each_bit():
             bits = [sum(int(w) >> b & 1 for w in words[i : i + width]) > width // 2 for b in range(64)]
             assert int(got[i]) == sum(1 << b for b in range(64) if bits[b])
     assert len(simhash_windows(words[:4], 5)) == 0
+    for width, got in zip((49, 13, 61), simhash_widths(words, [49, 13, 61]), strict=True):
+        assert got.tolist() == simhash_windows(words, width).tolist()
+
+
+def test_item_sized_windows_hold_three_quarters_of_the_item():
+    for n in range(13, 3000):
+        w = item_width(n, 13)
+        assert w % 2 and w <= n <= 4 / 3 * w
 
 
 @pytest.mark.parametrize("radius", [0, 1, 3, 7])
 def test_no_fingerprint_within_the_radius_is_missed(radius):
     rng = np.random.default_rng(2)
-    items = [(i, rng.integers(0, 2**64, 20, dtype="u8")) for i in range(30)]
-    index = ItemIndex(items, 13, radius, 5)
+    items = [(i, i, rng.integers(0, 2**64, 20, dtype="u8")) for i in range(30)]
+    index = Windows(items, 13, radius)
     prints = index.prints.copy()
     for k in range(len(prints)):
         for b in rng.choice(64, radius, replace=False):
@@ -129,3 +137,47 @@ def test_near_like_brute_force(spark):
     assert got.keys() == want.keys() | exact
     assert {k for k, r in got.items() if r.exact_windows} == exact
     assert {k: r.similarity for k, r in got.items()} == pytest.approx(want)
+
+
+def test_recall_of_edited_items(spark):
+    """Items of the usual sizes with 1, 2 or 3 words changed: what SimHash alone finds of all similar item-sized windows."""
+    rnd = random.Random(5)
+    make = lambda n: [f"w{rnd.randrange(20_000)}" for _ in range(n)]
+    items = {i: make(rnd.randrange(51, 136)) for i in range(100)}
+    docs, edits = {}, {}
+    for d in range(600):
+        item, m = rnd.randrange(100), rnd.choice([1, 2, 3])
+        w = items[item].copy()
+        for k in rnd.sample(range(len(w)), m):
+            w[k] = f"new{rnd.randrange(10**6)}"
+        docs[d], edits[d] = make(30) + w + make(30), (item, m)
+    cut = lambda w, k: [tuple(w[i : i + k]) for i in range(len(w) - k + 1)]
+    count = {}
+    for w in items.values():
+        for s in set(cut(w, 5)):
+            count[s] = count.get(s, 0) + 1
+    weigh = lambda x: math.fsum(math.log1p(len(items) / count.get(s, 1)) for s in x)
+    want = {}
+    for d, (item, m) in edits.items():
+        w, k = items[item], item_width(len(items[item]), 13)
+        best = 0
+        for a in range(len(w) - k + 1):
+            x = set(cut(w[a : a + k], 5))
+            for b in range(max(0, 22 + a), 39 + a):  # windows shifted further have too much else
+                y = set(cut(docs[d][b : b + k], 5))
+                if len(x & y) * 5 >= len(x) * 3:
+                    best = max(best, weigh(x & y) / weigh(x | y))
+        if best >= 0.8 - 1e-9:
+            want[d, item] = (best, m)
+    rows = leaks(
+        spark.createDataFrame([(d, " ".join(w), "") for d, w in docs.items()], DOCS).repartition(3),
+        spark.createDataFrame([(i, "s", " ".join(w)) for i, w in items.items()], ITEMS),
+    ).collect()
+    got = {(r.doc_id, r.item_id): r.item_similarity for r in rows if r.item_similarity is not None}
+    assert got.keys() <= want.keys() and all(got[k] <= want[k][0] + 1e-9 for k in got)
+    for m in (1, 2, 3):
+        of = [k for k in want if want[k][1] == m]
+        assert len(of) >= 20, m
+        recall = sum(k in got for k in of) / len(of)
+        print(m, len(of), recall)
+        assert recall >= 0.9

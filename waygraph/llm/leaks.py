@@ -1,15 +1,18 @@
 """Passages of evaluation items inside documents.
 
-Documents and items are cut into windows of `width` words, the length from which a shared passage
-counts. Every window has a 64-bit SimHash of its words, made by bit-sliced counting over the whole
-word stream. Two fingerprints that differ in at most `radius` bits agree in at least one of
-radius + 1 blocks, so looking each document window up in one table a block finds all item windows
-within the radius: all with the same words, but few of the merely similar ones, as one word in
-thirteen changes about 7 bits. Those are found by their shingles: a window pair of similarity s shares
-a weight of at least s times that of either window, so it shares one of the item window's heaviest
-shingles that together weigh more than 1 - s of it, and at most 1 - s of the document window's
-shingles occur in no item. Candidates are then compared exactly: similarity of their weighted
-shingles, and whether all words are the same in the same order.
+Documents and items are cut into windows of two kinds: `width` words, the length from which a shared
+passage counts, and item-sized windows, the largest of a ladder of widths that an item holds (three
+quarters of it at least). Every window has a 64-bit SimHash of its words, made by bit-sliced counting
+over the whole word stream. Fingerprints that differ in at most `radius` bits agree in one of four
+blocks up to radius // 4 bits; an item window is entered in each block's table under all keys that
+near, so one lookup a block finds all item windows within the radius. One to three changed words move
+few bits of an item-sized window, so its radius holds them; one word in thirteen moves about 7, so of
+`width` words the radius finds the same words and few others. Pairs of similar passages are found by
+their shingles as well: a window pair of similarity s shares a weight of at least s times that of
+either window, so it shares one of the item window's heaviest shingles that together weigh more than
+1 - s of it, and at most 1 - s of the document window's shingles occur in no item. Candidates are then
+compared exactly: similarity of their weighted shingles, and whether all words are the same in the
+same order.
 
 Only the item windows (a stated query set) are sent to the tasks; documents are read once and not
 shuffled. More items than one block holds are searched in several blocks of items.
@@ -18,6 +21,7 @@ shuffled. More items than one block holds are searched in several blocks of item
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -25,8 +29,13 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..runtime import written
+
 WIDTH = 13
 RADIUS = 3
+#: radius of item-sized windows: 1 to 3 changed words among 51 to 139 move 4 bits on average
+ITEM_RADIUS = 7
+BLOCKS = 4
 SHINGLE = 5
 SIMILAR = 0.8
 #: item words searched for at a time; the index sent to a worker has some 170 bytes a word
@@ -38,7 +47,7 @@ PAIRS = 1 << 20
 #: similarities are rounded to so many digits, so that sums in another order don't fall below the limit
 DIGITS = 12
 
-_OUT = "doc_id long, item_id long, exact_windows long, similarity double"
+_OUT = "doc_id long, item_id long, exact_windows long, similarity double, item_similarity double"
 
 
 def word_hashes(text: Column) -> Column:
@@ -72,64 +81,98 @@ def _add(a: list[np.ndarray], b: list[np.ndarray]) -> list[np.ndarray]:
 
 def simhash_windows(words: np.ndarray, width: int) -> np.ndarray:
     """SimHash of every window of `width` (odd) successive words; len(words) - width + 1 values."""
-    n = len(words) - width + 1
-    if n <= 0:
-        return np.empty(0, "u8")
-    total: list[np.ndarray] = []
-    done, size, planes = 0, 1, [words]
-    while True:
-        if width & size:
-            part = [p[done : done + n] for p in planes]
-            total = _add(total, part) if total else part
-            done += size
-        size *= 2
-        if size > width:
-            break
-        half = size // 2
-        m = len(planes[0]) - half
-        planes = _add([p[:m] for p in planes], [p[half : half + m] for p in planes])
-    # bit set where the count is more than width // 2
-    need = width // 2 + 1
-    above = np.zeros(n, "u8")
-    same = np.full(n, np.iinfo("u8").max, "u8")
-    for i in reversed(range(len(total))):
-        if need >> i & 1:
-            same &= total[i]
-        else:
-            above |= same & total[i]
-            same &= ~total[i]
-    return above | same
-
-
-class ItemIndex:
-    """Windows of the items with one lookup table for each block of the fingerprint."""
-
-    def __init__(self, items: list[tuple[int, np.ndarray]], width: int, radius: int, shingle: int, similar: float = SIMILAR):
-        self.width, self.radius, self.shingle, self.similar = width, radius, shingle, similar
-        ids, rows, numbers = [], [], []
-        for number, (item, words) in enumerate(items):
-            if len(words) >= width:
-                w = np.lib.stride_tricks.sliding_window_view(words, width)
-                rows.append(w)
-                ids.append(np.full(len(w), item))
-                numbers.append(np.full(len(w), number))
-        self.ids = np.concatenate(ids) if ids else np.empty(0, "i8")
-        self.numbers = np.concatenate(numbers) if numbers else np.empty(0, "i8")
+    return next(simhash_widths(words, [width]))
+
+
+def simhash_widths(words: np.ndarray, widths: list[int]) -> Iterator[np.ndarray]:
+    """SimHash of every window, width by width; sums over 1, 2, 4 ... words are shared."""
+    powers = [[words]]
+    for width in widths:
+        n = len(words) - width + 1
+        if n <= 0:
+            yield np.empty(0, "u8")
+            continue
+        while 2 ** len(powers) <= width:
+            half, planes = 2 ** (len(powers) - 1), powers[-1]
+            m = len(planes[0]) - half
+            powers.append(_add([p[:m] for p in planes], [p[half : half + m] for p in planes]))
+        total: list[np.ndarray] = []
+        done = 0
+        for k, planes in enumerate(powers):
+            if width >> k & 1:
+                part = [p[done : done + n] for p in planes]
+                total = _add(total, part) if total else part
+                done += 2**k
+        # bit set where the count is more than width // 2
+        need = width // 2 + 1
+        above = np.zeros(n, "u8")
+        same = np.full(n, np.iinfo("u8").max, "u8")
+        for i in reversed(range(len(total))):
+            if need >> i & 1:
+                same &= total[i]
+            else:
+                above |= same & total[i]
+                same &= ~total[i]
+        yield above | same
+
+
+def item_width(words: int, least: int) -> int:
+    """The largest of the widths 4, 5 or 6 times a power of two, and one, that is at most `words`; never below `least`."""
+    k = max(words - 1, 4).bit_length() - 3
+    return max(least, (min(max(words - 1, 4) >> k, 6) << k) + 1)
+
+
+class Windows:
+    """Windows of one width with a lookup table for each block of the fingerprint."""
+
+    def __init__(self, items: list[tuple[int, int, np.ndarray]], width: int, radius: int):
+        """items: (number, id, words), each of at least `width` words."""
+        self.width, self.radius = width, radius
+        rows = [np.lib.stride_tricks.sliding_window_view(w, width) for *_, w in items]
+        sizes = [len(r) for r in rows]
+        self.numbers = np.repeat(np.array([n for n, *_ in items], "i8"), sizes)
+        self.ids = np.repeat(np.array([i for _, i, _ in items], "i8"), sizes)
         self.words = np.concatenate(rows) if rows else np.empty((0, width), "u8")
-        flat = self.words.reshape(-1)
-        self.prints = simhash_windows(flat, width)[::width] if len(flat) else np.empty(0, "u8")
-        blocks = radius + 1
-        bits = 64 // blocks
+        self.prints = np.concatenate([simhash_windows(w, width) for *_, w in items]) if items else np.empty(0, "u8")
+        bits = 64 // BLOCKS
+        # all keys of a block that differ in at most radius // BLOCKS bits
+        flips = [sum(1 << b for b in c) for k in range(radius // BLOCKS + 1) for c in combinations(range(bits), k)]
         self.tables = []
-        for b in range(blocks):
-            shift = b * bits
-            size = 64 - shift if b == blocks - 1 else bits
-            if size > 22:  # few wide blocks would need huge tables; the low bits alone find no fewer
-                size = 22
-            key = (self.prints >> np.uint64(shift)) & np.uint64((1 << size) - 1)
+        for b in range(BLOCKS):
+            key = (self.prints >> np.uint64(b * bits)) & np.uint64((1 << bits) - 1)
+            key = (key[:, None] ^ np.array(flips, "u8")).ravel()
             order = np.argsort(key, kind="stable")
-            first = np.searchsorted(key[order], np.arange((1 << size) + 1, dtype="u8")).astype("i4")
-            self.tables.append((shift, size, order.astype("i4"), first))
+            first = np.searchsorted(key[order], np.arange((1 << bits) + 1, dtype="u8")).astype("i4")
+            self.tables.append((np.uint64(b * bits), np.uint64((1 << bits) - 1), (order // len(flips)).astype("i4"), first))
+
+    def candidates(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(window, item window) pairs within the radius, each once."""
+        found = [np.empty(0, "i8")]
+        for shift, mask, order, first in self.tables:
+            key = ((prints >> shift) & mask).astype("i4")
+            lo = first[key]
+            n = first[key + 1] - lo
+            at = np.flatnonzero(n)
+            k = n[at]
+            doc = np.repeat(at, k)
+            item = order[np.arange(len(doc)) - np.repeat(np.cumsum(k) - k, k) + np.repeat(lo[at], k)]
+            ok = np.bitwise_count(prints[doc] ^ self.prints[item]) <= self.radius
+            found.append(doc[ok].astype("i8") << 32 | item[ok])
+        pairs = np.unique(np.concatenate(found))
+        return pairs >> 32, pairs & 0xFFFFFFFF
+
+
+class ItemIndex:
+    """Windows of the items, weights of their shingles, and passages by their heaviest shingles."""
+
+    def __init__(self, items: list[tuple[int, np.ndarray]], width: int, radius: int, shingle: int, similar: float = SIMILAR, item_radius: int = ITEM_RADIUS):
+        self.width, self.shingle, self.similar = width, shingle, similar
+        long = [(number, item, w) for number, (item, w) in enumerate(items) if len(w) >= width]
+        self.passages = Windows(long, width, radius)
+        sized: dict[int, list] = {}
+        for x in long:
+            sized.setdefault(item_width(len(x[2]), width), []).append(x)
+        self.whole = [Windows(x, w, item_radius) for w, x in sorted(sized.items())]
         # weight of a shingle: rarer over the items, heavier
         seen = {s for item, w in items if len(w) >= shingle for s in ((item, int(x)) for x in np.unique(self.shingles(w)))}
         key, count = np.unique(np.array([s for _, s in seen], dtype="u8"), return_counts=True)
@@ -143,8 +186,9 @@ class ItemIndex:
         self.known = np.zeros(1 << 20, dtype=bool)
         self.known[self.shingle_key >> np.uint64(44)] = True
         slots, windows = [np.empty(0, "i8")], [np.empty(0, "i8")]
-        for a in range(0, len(self.words), 50_000):
-            s = np.sort(self.shingles(self.words[a : a + 50_000]), axis=1)
+        words = self.passages.words
+        for a in range(0, len(words), 50_000):
+            s = np.sort(self.shingles(words[a : a + 50_000]), axis=1)
             weight = self.weights(s)
             weight[:, 1:][s[:, 1:] == s[:, :-1]] = 0
             order = np.argsort(-weight, axis=1, kind="stable")
@@ -174,22 +218,6 @@ class ItemIndex:
         i = np.minimum(np.searchsorted(self.shingle_key, s), len(self.shingle_key) - 1)
         return np.where(self.shingle_key[i] == s, self.shingle_weight[i], self.unseen)
 
-    def candidates(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(window, item window) pairs within the radius, each once."""
-        found = []
-        for shift, size, order, first in self.tables:
-            key = (prints >> np.uint64(shift)) & np.uint64((1 << size) - 1)
-            lo = first[key]
-            n = first[key + np.uint64(1)] - lo
-            at = np.flatnonzero(n)
-            k = n[at]
-            doc = np.repeat(at, k)
-            item = order[np.arange(len(doc)) - np.repeat(np.cumsum(k) - k, k) + np.repeat(lo[at], k)]
-            ok = np.bitwise_count(prints[doc] ^ self.prints[item]) <= self.radius
-            found.append(doc[ok].astype("i8") << 32 | item[ok])
-        pairs = np.unique(np.concatenate(found))
-        return pairs >> 32, pairs & 0xFFFFFFFF
-
     def similar_candidates(self, words: np.ndarray, prints: np.ndarray, inside: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """(window, item window) pairs beyond the radius, each once: all that can be similar, in parts.
 
@@ -219,7 +247,7 @@ class ItemIndex:
             size, start = n[at].ravel(), lo[at].ravel()
             doc = np.repeat(np.repeat(i[at], m), size)
             item = self.shingle_windows[np.arange(len(doc)) - np.repeat(np.cumsum(size) - size, size) + np.repeat(start, size)]
-            far = np.bitwise_count(prints[doc] ^ self.prints[item]) > self.radius
+            far = np.bitwise_count(prints[doc] ^ self.passages.prints[item]) > self.passages.radius
             pairs = np.unique(doc[far].astype("i8") << 32 | item[far])
             yield pairs >> 32, pairs & 0xFFFFFFFF
 
@@ -228,15 +256,28 @@ class ItemIndex:
         same = (a == b).all(axis=1)
         similar = np.ones(len(a))
         rest = np.flatnonzero(~same)
-        for at in np.array_split(rest, max(1, len(rest) // 50_000)):
-            x, y = self.shingles(a[at]), self.shingles(b[at])
-            both = x[:, :, None] == y[:, None, :]
-            # a shingle that occurs twice in a window counts once
-            first_x = ~np.triu((x[:, :, None] == x[:, None, :]).transpose(0, 2, 1), 1).any(axis=1)
-            first_y = ~np.triu((y[:, :, None] == y[:, None, :]).transpose(0, 2, 1), 1).any(axis=1)
-            wx, wy = self.weights(x) * first_x, self.weights(y) * first_y
-            shared = (wx * both.any(axis=2)).sum(axis=1)
-            similar[at] = shared / np.maximum(wx.sum(axis=1) + wy.sum(axis=1) - shared, 1e-12)
+        for at in np.array_split(rest, max(1, len(rest) * a.shape[1] // 500_000)):
+            sides = []
+            for w in (a[at], b[at]):
+                s = np.sort(self.shingles(w), axis=1)
+                weight = self.weights(s)
+                # a shingle that occurs twice in a window counts once
+                weight[:, 1:][s[:, 1:] == s[:, :-1]] = 0
+                sides.append((s, weight))
+            both, weight = (np.concatenate(x, axis=1) for x in zip(*sides, strict=True))
+            order = np.argsort(both, axis=1, kind="stable")
+            both, weight = np.take_along_axis(both, order, 1), np.take_along_axis(weight, order, 1)
+            # of equal shingles the first of either side carries its weight, those of a come first
+            start = np.ones(both.shape, dtype=bool)
+            start[:, 1:] = both[:, 1:] != both[:, :-1]
+            row = np.arange(len(both))[:, None] * both.shape[1]
+            group = np.maximum.accumulate(np.where(start, np.arange(both.shape[1]), 0), axis=1) + row
+            mass = np.bincount(group.ravel(), weight.ravel(), both.size).reshape(both.shape)
+            one = np.zeros(both.size)
+            np.maximum.at(one, group.ravel(), weight.ravel())
+            shared = mass - one.reshape(both.shape)
+            shared, union = shared.sum(axis=1), one.reshape(both.shape).sum(axis=1)
+            similar[at] = shared / np.maximum(union, 1e-12)
         return same, similar
 
 
@@ -245,67 +286,79 @@ def _search(doc_ids: np.ndarray, n: np.ndarray, words: np.ndarray, index: ItemIn
     doc = np.repeat(np.arange(len(n)), n)
     found = []
 
-    def rows(a: int, i: np.ndarray, j: np.ndarray, same: np.ndarray, like: np.ndarray) -> np.ndarray:
-        like = np.round(like, DIGITS)
-        keep = same | (like >= similar)
-        return np.stack([doc_ids[doc[a + i[keep]]], index.ids[j[keep]], same[keep].astype("i8"), np.round(like[keep] * 10**DIGITS).astype("i8")])
+    def rows(windows: Windows, i: np.ndarray, j: np.ndarray, same: np.ndarray, like: np.ndarray, sized: bool) -> np.ndarray:
+        """(document, item, same words, similarity of passages, of item-sized windows) of the pairs that count."""
+        like = np.round(np.round(like, DIGITS) * 10**DIGITS).astype("i8")
+        keep = like >= round(similar * 10**DIGITS)
+        keep |= same
+        none = np.full(int(keep.sum()), -1)
+        return np.stack([doc_ids[doc[i[keep]]], windows.ids[j[keep]], same[keep] & (not sized), none if sized else like[keep], like[keep] if sized else none])
 
+    sizes = [w.width for w in index.whole]
     for a in range(0, len(words) - width + 1, SLICE_WORDS):
-        w = words[a : a + SLICE_WORDS + width - 1]
-        prints = simhash_windows(w, width)
-        inside = doc[a : a + len(prints)] == doc[a + width - 1 : a + width - 1 + len(prints)]
-        at = np.flatnonzero(inside)
-        view = np.lib.stride_tricks.sliding_window_view(w, width)
-        i, j = index.candidates(prints[at])
-        i = at[i]
-        same, like = index.compare(view[i], index.words[j])
-        found.append(rows(a, i, j, same, like))
-        # a document that has an item's very words is as similar to it as can be
-        copied = np.unique(doc[a + i[same]] << 32 | index.numbers[j[same]])
-        for i, j in index.similar_candidates(w, prints, inside):
-            new = ~np.isin(doc[a + i] << 32 | index.numbers[j], copied)
-            i, j = i[new], j[new]
-            found.append(rows(a, i, j, *index.compare(view[i], index.words[j])))
+        w = words[a : a + SLICE_WORDS + max([width, *sizes]) - 1]
+        for windows, prints in zip([index.passages, *index.whole], simhash_widths(w, [width, *sizes]), strict=True):
+            prints = prints[:SLICE_WORDS]
+            inside = doc[a : a + len(prints)] == doc[a + windows.width - 1 : a + windows.width - 1 + len(prints)]
+            at = np.flatnonzero(inside)
+            if not len(at):
+                continue
+            view = np.lib.stride_tricks.sliding_window_view(w, windows.width)
+            i, j = windows.candidates(prints[at])
+            i = at[i]
+            same, like = index.compare(view[i], windows.words[j])
+            found.append(rows(windows, a + i, j, same, like, windows is not index.passages))
+            if windows is index.passages:
+                # a document that has an item's very words is as similar to it as can be
+                copied = np.unique(doc[a + i[same]] << 32 | windows.numbers[j[same]])
+                for i, j in index.similar_candidates(w[: len(prints) + width - 1], prints, inside):
+                    new = ~np.isin(doc[a + i] << 32 | windows.numbers[j], copied)
+                    i, j = i[new], j[new]
+                    found.append(rows(windows, a + i, j, *index.compare(view[i], windows.words[j]), False))
     if not found:
         return None
     found = np.concatenate(found, axis=1)
     if not found.size:
         return None
-    t = pa.table(dict(zip(("doc_id", "item_id", "same", "like"), found, strict=True)))
-    t = t.group_by(["doc_id", "item_id"]).aggregate([("same", "sum"), ("like", "max")])
-    like = pc.divide(t.column("like_max").cast(pa.float64()), 10.0**DIGITS)
-    return pa.table([t.column("doc_id"), t.column("item_id"), t.column("same_sum"), like], names=["doc_id", "item_id", "exact_windows", "similarity"]).combine_chunks().to_batches()[0]
+    names = ["doc_id", "item_id", "exact_windows", "similarity", "item_similarity"]
+    t = pa.table(dict(zip(names, found, strict=True)))
+    t = t.group_by(names[:2]).aggregate([("exact_windows", "sum"), ("similarity", "max"), ("item_similarity", "max")])
+    like = [pc.if_else(pc.less(c, 0), None, pc.divide(c.cast(pa.float64()), 10.0**DIGITS)) for c in (t.column("similarity_max"), t.column("item_similarity_max"))]
+    return pa.table([t.column("doc_id"), t.column("item_id"), t.column("exact_windows_sum"), *like], names=names).combine_chunks().to_batches()[0]
 
 
-def leaks(documents: DataFrame, items: DataFrame, width: int = WIDTH, radius: int = RADIUS, shingle: int = SHINGLE, similar: float = SIMILAR, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """(doc_id, item_id, exact_windows, similarity): documents holding a window like one of an item's.
+def leaks(documents: DataFrame, items: DataFrame, width: int = WIDTH, radius: int = RADIUS, shingle: int = SHINGLE, similar: float = SIMILAR, block_words: int = BLOCK_WORDS, item_radius: int = ITEM_RADIUS) -> DataFrame:
+    """(doc_id, item_id, exact_windows, similarity, item_similarity): documents holding a window like one of an item's.
 
     exact_windows counts (document window, item window) pairs of the same `width` words in the same
-    order; similarity is the greatest weighted-shingle similarity of any pair. Rows with exact_windows
-    = 0 are near matches: all that have a pair of windows with similarity >= similar. Null or empty
-    texts, and texts of fewer than `width` words, match nothing; null ids give no row. Texts are
-    searched whole. Repeated rows of a doc_id or item_id count once. Items are the stated query set: their words are
-    gathered, block by block of block_words.
+    order; similarity is the greatest weighted-shingle similarity of any pair of passages,
+    item_similarity that of item-sized windows, each null if there is no pair with similarity >=
+    similar. Of passages all such pairs are found, of item-sized windows those within item_radius bits.
+    Null or empty texts, and texts of fewer than `width` words, match nothing; null ids give no row.
+    Texts are searched whole. Repeated rows of a doc_id or item_id count once. Items are the stated
+    query set: their words are gathered, block by block of block_words.
     """
     if width % 2 == 0:
         raise ValueError("width must be odd, so that no bit of a fingerprint is a tie")
     spark = documents.sparkSession
     queries = items.where(F.col("item_id").isNotNull() & F.col("text").isNotNull()).select("item_id", word_hashes(F.col("text")).alias("w"))
-    blocks: list[list[tuple[int, np.ndarray]]] = [[]]
-    size = 0
-    for row in queries.toLocalIterator():
-        words = np.array(row.w, dtype="i8").view("u8")
-        if size + len(words) > block_words and blocks[-1]:
-            blocks.append([])
-            size = 0
-        blocks[-1].append((int(row.item_id), words))
-        size += len(words)
     hashed = documents.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select("doc_id", word_hashes(F.col("text")).alias("w"))
-    result = None
-    for block in blocks:
-        sent = spark.sparkContext.broadcast(ItemIndex(block, width, radius, shingle, similar))
 
-        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+    def blocks() -> Iterator[list[tuple[int, np.ndarray]]]:
+        block, size = [], 0
+        for row in queries.toLocalIterator():
+            words = np.array(row.w, dtype="i8").view("u8")
+            if size + len(words) > block_words and block:
+                yield block
+                block, size = [], 0
+            block.append((int(row.item_id), words))
+            size += len(words)
+        yield block
+
+    def search(documents: DataFrame, block: list[tuple[int, np.ndarray]]) -> DataFrame:
+        sent = spark.sparkContext.broadcast(ItemIndex(block, width, radius, shingle, similar, item_radius))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             index = sent.value
             for b in batches:
                 w = b.column("w")
@@ -314,6 +367,14 @@ def leaks(documents: DataFrame, items: DataFrame, width: int = WIDTH, radius: in
                 if out is not None:
                     yield out
 
-        part = hashed.mapInArrow(run, _OUT)
-        result = part if result is None else result.unionByName(part)
-    return result.groupBy("doc_id", "item_id").agg(F.max("exact_windows").alias("exact_windows"), F.max("similarity").alias("similarity"))
+        return documents.mapInArrow(run, _OUT)
+
+    some = blocks()
+    result, following = search(hashed, next(some)), next(some, None)
+    if following is not None:
+        # several passes: words are hashed once
+        hashed = written(hashed, "words")
+        while following is not None:
+            result = result.unionByName(search(hashed, following))
+            following = next(some, None)
+    return result.groupBy("doc_id", "item_id").agg(*[F.max(c).alias(c) for c in ("exact_windows", "similarity", "item_similarity")])
