@@ -8,11 +8,19 @@ GOOD = '{"RouteId": "1", "RouteVarId": "2", "lat": [10.5, 11], "lng": [106, 1.5e
 R = {"RouteId": "1", "RouteVarId": "2", "lat": [10.5], "lng": [106.0]}
 
 
+def deep(n, inner="", close=None):
+    return GOOD[:-1] + ', "x": ' + '[{"y":' * n + (inner or "1") + ("}]" * n if close is None else close) + "}"
+
+
 def variant(**x):
     return json.dumps({k: v for k, v in (R | x).items() if v is not ...})
 
 
 CASES = [
+    (GOOD.replace("}", ', "x": ' + "7" * 6000 + "}"), None),
+    (GOOD.replace("}", ', "x": {"y": -' + "7" * 6000 + "}}"), None),
+    (GOOD.replace("10.5", "9" * 6000), "out_of_range"),
+    (deep(30), None),
     (GOOD, None),
     ("  \t" + GOOD + " \r\n", None),
     (variant(note='a "b" {c} [d]', extra={"x": [1, {}]}), None),
@@ -60,6 +68,27 @@ CASES = [
 ]
 
 
+DEEP = [
+    (deep(20_000), None),
+    (GOOD[:-1] + ', "x": ' + "[" * 20_000 + "]" * 20_000 + "}", None),
+    (deep(20_000, close="}]" * 19_999 + "}"), "syntax"),
+    (deep(20_000, "1,"), "syntax"),
+    (deep(20_000, "1 2"), "syntax"),
+    (deep(20_000, "tru"), "syntax"),
+    (deep(20_000) + "]", "syntax"),
+    (deep(20_000).replace("10.5", "null"), "not_number"),
+    (deep(20_000).replace("10.5, 11", "10.5"), "unequal_length"),
+    ("[" * 20_000 + "]" * 20_000, "not_object"),
+]
+
+
+@pytest.mark.parametrize(("body", "want"), DEEP)
+def test_deep_nesting(body, want):
+    reason, record = diagnose(body)
+    assert (reason and reason.split(":")[0]) == want
+    assert want or record["lat"] == [10.5, 11.0]
+
+
 @pytest.mark.parametrize("copies", [1, 40])
 def test_cases(spark, copies):
     rows = [(i * 1000 + k, "f", body, k) for k in range(copies) for i, (body, _) in enumerate(CASES)]
@@ -71,7 +100,7 @@ def test_cases(spark, copies):
         if want == "blank":
             assert (r.status, r.reason, r.lat) == ("blank", None, None)
         elif want is None:
-            record = json.loads(body)
+            record = diagnose(body)[1] if len(body) > 5000 else json.loads(body)
             assert (r.status, r.reason) == ("good", None), (body, r)
             assert (r.RouteId, r.RouteVarId, r.lat, r.lng) == tuple(record[k] for k in ("RouteId", "RouteVarId", "lat", "lng"))
         else:
@@ -99,3 +128,10 @@ def test_further_fields_are_read_strictly(spark):
     for i, _, body in rows:
         assert got[i].status == ("good" if body in sound else "bad"), body
         assert got[i].reason == diagnose(body)[0]
+
+
+def test_half_a_surrogate_pair(spark):
+    rows = [(1, "f", GOOD.replace('"1"', '"\\ud800"')), (2, "f", GOOD.replace('"2"', '"a\\udc00b"')), (3, "f", GOOD.replace('"1"', '"\\ud83d\\ude00"')), (4, "f", GOOD), (5, "f", "{"), (6, "f", DEEP[0][0]), (7, "f", DEEP[1][0])]
+    got = {r.line_id: r for r in parsed_lines(spark.createDataFrame(rows, "line_id long, feed string, body string")).collect()}
+    assert [got[i].status for i in range(1, 6)] == ["good"] * 4 + ["bad"] and got[6].status == got[7].status == "good"
+    assert (got[1].RouteId, got[2].RouteVarId, got[3].RouteId) == ("\ufffd", "a\ufffdb", "\U0001f600")

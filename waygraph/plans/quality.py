@@ -102,12 +102,35 @@ def p4_neighbours(spark, d):
     return p.select(F.explode(F.array("id_a", "id_b")).alias("id")).groupBy("id").agg(F.count("*").alias("neighbours"))
 
 
-@add("p5_found")
+# DuckDB reads JSON laxly: bare NaN and Inf and a comma before a closing mark are looked for apart from the strings
+_P5 = r"""
+WITH t AS (SELECT DISTINCT line_id, feed, trim(body, E' \t\r\n') AS b FROM path_lines WHERE body IS NOT NULL),
+b AS (SELECT *, regexp_replace(b, '"(?:[^"\\]|\\.)*"', '""', 'g') AS bare FROM t WHERE NOT regexp_full_match(b, '\s*')),
+v AS (SELECT *, json_valid(b) AND NOT regexp_matches(bare, ',\s*[}\]]') AND NOT regexp_matches(bare, '(?i)nan|inf') AND NOT regexp_matches(bare, '/[/*]') AS ok FROM b),
+j AS (SELECT line_id, feed, ok, CASE WHEN ok THEN b END AS b FROM v),
+k AS (SELECT *, CASE WHEN json_type(b) = 'OBJECT' AND json_type(b, '$.lat') = 'ARRAY' AND json_type(b, '$.lng') = 'ARRAY' THEN b END AS o FROM j),
+f AS (SELECT *, json_extract(o, '$.lat[*]') AS la, json_extract(o, '$.lng[*]') AS lo FROM k),
+g AS (SELECT line_id, feed, o, la, lo, coalesce(o IS NOT NULL AND json_type(o, '$.RouteId') = 'VARCHAR' AND json_extract_string(o, '$.RouteId') <> ''
+  AND json_type(o, '$.RouteVarId') = 'VARCHAR' AND json_extract_string(o, '$.RouteVarId') <> '' AND len(la) > 0 AND len(la) = len(lo)
+  AND len(list_filter(la, x -> coalesce(json_type(x) IN ('UBIGINT', 'BIGINT', 'DOUBLE') AND TRY_CAST(x AS DOUBLE) BETWEEN -90 AND 90, FALSE))) = len(la)
+  AND len(list_filter(lo, x -> coalesce(json_type(x) IN ('UBIGINT', 'BIGINT', 'DOUBLE') AND TRY_CAST(x AS DOUBLE) BETWEEN -180 AND 180, FALSE))) = len(lo), FALSE) AS good FROM f)
+"""
+
+
+@add("p5_found", _P5 + "SELECT DISTINCT line_id FROM g WHERE NOT good")
 def p5_found(spark, d):
     """Lines that are neither blank nor good."""
     return rejects.bad_lines(table(spark, d, "path_lines")).select("line_id").distinct()
 
 
+@add("p5_records", _P5 + """SELECT line_id, feed, json_extract_string(o, '$.RouteId') AS route, json_extract_string(o, '$.RouteVarId') AS variant, len(la) AS points,
+CAST(la[1] AS DOUBLE) AS first_lat, CAST(lo[len(lo)] AS DOUBLE) AS last_lng FROM g WHERE good""")
+def p5_records(spark, d):
+    """Of each good line the ids, the number of points, its first latitude and last longitude."""
+    r = rejects.good_routes(table(spark, d, "path_lines"))
+    return r.select("line_id", "feed", F.col("RouteId").alias("route"), F.col("RouteVarId").alias("variant"), F.size("lat").cast("bigint").alias("points"), F.col("lat")[0].alias("first_lat"), F.element_at("lng", -1).alias("last_lng"))
+
+
 @add("p5_bad")
 def p5_bad(spark, d):
     """Bad lines with the reason."""
