@@ -2,11 +2,13 @@
 
 Documents and items are cut into windows of two kinds: `width` words, the length from which a shared
 passage counts, and item-sized windows, the largest of a ladder of widths that an item holds (three
-quarters of it at least). Every window has a 64-bit SimHash of its words, made by bit-sliced counting
-over the whole word stream. Fingerprints that differ in at most `radius` bits agree in one of four
+quarters of it at least), at steps of four words. Every window has a 64-bit SimHash of its words, made by bit-sliced counting
+over the whole word stream. The same few words (articles, prepositions) come again and again and would
+make all windows alike; so a passage counts its words in threes, and in item-sized windows words that
+are common among the items count together with the one or two before them. Fingerprints that differ in at most `radius` bits agree in one of four
 blocks up to radius // 4 bits; an item window is entered in each block's table under all keys that
 near, so one lookup a block finds all item windows within the radius. One to three changed words move
-few bits of an item-sized window, so its radius holds them; one word in thirteen moves about 7, so of
+few bits of an item-sized window, so its radius holds them; one word in thirteen moves many, so of
 `width` words the radius finds the same words and few others. Pairs of similar passages are found by
 their shingles as well: a window pair of similarity s shares a weight of at least s times that of
 either window, so it shares one of the item window's heaviest shingles that together weigh more than
@@ -20,8 +22,8 @@ shuffled. More items than one block holds are searched in several blocks of item
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from itertools import combinations
+from collections.abc import Callable, Iterator
+from itertools import chain, combinations
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +38,10 @@ RADIUS = 3
 #: radius of item-sized windows: 1 to 3 changed words among 51 to 139 move 4 bits on average
 ITEM_RADIUS = 7
 BLOCKS = 4
+#: item-sized windows of an item start at every so many words, and the last at its end
+STEP = 4
+#: words of this share of the items and more count together with the words before them
+COMMON = 0.02
 SHINGLE = 5
 SIMILAR = 0.8
 #: item words searched for at a time; the index sent to a worker has some 170 bytes a word
@@ -116,6 +122,16 @@ def simhash_widths(words: np.ndarray, widths: list[int]) -> Iterator[np.ndarray]
         yield above | same
 
 
+def triples(words: np.ndarray) -> np.ndarray:
+    """Hashes of three successive words."""
+    k = np.uint64(0x9E3779B97F4A7C15)
+    h = words[:-2].copy()
+    for w in (words[1:-1], words[2:]):
+        h = (h ^ w) * k
+        h ^= h >> np.uint64(32)
+    return h * k
+
+
 def item_width(words: int, least: int) -> int:
     """The largest of the widths 4, 5 or 6 times a power of two, and one, that is at most `words`; never below `least`."""
     k = max(words - 1, 4).bit_length() - 3
@@ -125,15 +141,16 @@ def item_width(words: int, least: int) -> int:
 class Windows:
     """Windows of one width with a lookup table for each block of the fingerprint."""
 
-    def __init__(self, items: list[tuple[int, int, np.ndarray]], width: int, radius: int):
-        """items: (number, id, words), each of at least `width` words."""
+    def __init__(self, items: list[tuple[int, int, np.ndarray]], width: int, radius: int, features: Callable[[np.ndarray], np.ndarray] = np.asarray, span: int = 1, step: int = 1):
+        """items: (number, id, words), each of at least `width` words; features: what is counted, each of `span` words."""
         self.width, self.radius = width, radius
-        rows = [np.lib.stride_tricks.sliding_window_view(w, width) for *_, w in items]
+        starts = [np.unique(np.append(np.arange(0, len(w) - width + 1, step), len(w) - width)) for *_, w in items]
+        rows = [np.lib.stride_tricks.sliding_window_view(w, width)[at] for (*_, w), at in zip(items, starts, strict=True)]
         sizes = [len(r) for r in rows]
         self.numbers = np.repeat(np.array([n for n, *_ in items], "i8"), sizes)
         self.ids = np.repeat(np.array([i for _, i, _ in items], "i8"), sizes)
         self.words = np.concatenate(rows) if rows else np.empty((0, width), "u8")
-        self.prints = np.concatenate([simhash_windows(w, width) for *_, w in items]) if items else np.empty(0, "u8")
+        self.prints = np.concatenate([simhash_windows(features(w), width - span + 1)[at] for (*_, w), at in zip(items, starts, strict=True)]) if items else np.empty(0, "u8")
         bits = 64 // BLOCKS
         # all keys of a block that differ in at most radius // BLOCKS bits
         flips = [sum(1 << b for b in c) for k in range(radius // BLOCKS + 1) for c in combinations(range(bits), k)]
@@ -168,11 +185,15 @@ class ItemIndex:
     def __init__(self, items: list[tuple[int, np.ndarray]], width: int, radius: int, shingle: int, similar: float = SIMILAR, item_radius: int = ITEM_RADIUS):
         self.width, self.shingle, self.similar = width, shingle, similar
         long = [(number, item, w) for number, (item, w) in enumerate(items) if len(w) >= width]
-        self.passages = Windows(long, width, radius)
+        self.passages = Windows(long, width, radius, triples, 3)
         sized: dict[int, list] = {}
         for x in long:
             sized.setdefault(item_width(len(x[2]), width), []).append(x)
-        self.whole = [Windows(x, w, item_radius) for w, x in sorted(sized.items())]
+        words, count = np.unique(np.concatenate([np.empty(0, "u8"), *[np.unique(w) for _, w in items]]), return_counts=True)
+        self.common = words[count >= COMMON * len(items)]
+        self.maybe = np.zeros(1 << 16, dtype=bool)
+        self.maybe[self.common >> np.uint64(48)] = True
+        self.whole = [Windows(x, w, item_radius, self.features, step=STEP) for w, x in sorted(sized.items())]
         # weight of a shingle: rarer over the items, heavier
         seen = {s for item, w in items if len(w) >= shingle for s in ((item, int(x)) for x in np.unique(self.shingles(w)))}
         key, count = np.unique(np.array([s for _, s in seen], dtype="u8"), return_counts=True)
@@ -202,6 +223,19 @@ class ItemIndex:
         self.shingle_windows = np.concatenate(windows)[order].astype("i4")
         self.shingle_first = np.searchsorted(slot[order], np.arange(len(self.shingle_key) + 1)).astype("i8")
 
+    def features(self, words: np.ndarray) -> np.ndarray:
+        """The words, each common one mixed with the word before it, and the one before that if both are common."""
+        common = np.flatnonzero(self.maybe[words >> np.uint64(48)])
+        common = common[np.isin(words[common], self.common)]
+        k, out = np.uint64(0x9E3779B97F4A7C15), words.copy()
+        is_common = np.zeros(len(words) + 2, dtype=bool)
+        is_common[common + 2] = True
+        before = np.concatenate([np.zeros(2, "u8"), words])
+        one, two = before[common + 1], np.where(is_common[common + 1], before[common], 0)
+        h = (words[common] ^ (one * k) ^ (one >> np.uint64(31)) ^ (two * k * k) ^ (two >> np.uint64(29))) * k
+        out[common] = (h ^ (h >> np.uint64(32))) * k
+        return out
+
     def shingles(self, words: np.ndarray) -> np.ndarray:
         """Hashes of the shingles along the last axis."""
         k = self.shingle
@@ -297,7 +331,8 @@ def _search(doc_ids: np.ndarray, n: np.ndarray, words: np.ndarray, index: ItemIn
     sizes = [w.width for w in index.whole]
     for a in range(0, len(words) - width + 1, SLICE_WORDS):
         w = words[a : a + SLICE_WORDS + max([width, *sizes]) - 1]
-        for windows, prints in zip([index.passages, *index.whole], simhash_widths(w, [width, *sizes]), strict=True):
+        every = chain(simhash_widths(triples(w), [width - 2]), simhash_widths(index.features(w), sizes) if sizes else ())
+        for windows, prints in zip([index.passages, *index.whole], every, strict=True):
             prints = prints[:SLICE_WORDS]
             inside = doc[a : a + len(prints)] == doc[a + windows.width - 1 : a + windows.width - 1 + len(prints)]
             at = np.flatnonzero(inside)
@@ -306,8 +341,11 @@ def _search(doc_ids: np.ndarray, n: np.ndarray, words: np.ndarray, index: ItemIn
             view = np.lib.stride_tricks.sliding_window_view(w, windows.width)
             i, j = windows.candidates(prints[at])
             i = at[i]
-            same, like = index.compare(view[i], windows.words[j])
-            found.append(rows(windows, a + i, j, same, like, windows is not index.passages))
+            same = np.zeros(len(i), dtype=bool)
+            for part in np.array_split(np.arange(len(i)), len(i) * windows.width // (1 << 22) + 1):
+                x, y = i[part], j[part]
+                same[part], like = index.compare(view[x], windows.words[y])
+                found.append(rows(windows, a + x, y, same[part], like, windows is not index.passages))
             if windows is index.passages:
                 # a document that has an item's very words is as similar to it as can be
                 copied = np.unique(doc[a + i[same]] << 32 | windows.numbers[j[same]])
@@ -338,8 +376,8 @@ def leaks(documents: DataFrame, items: DataFrame, width: int = WIDTH, radius: in
     Texts are searched whole. Repeated rows of a doc_id or item_id count once. Items are the stated
     query set: their words are gathered, block by block of block_words.
     """
-    if width % 2 == 0:
-        raise ValueError("width must be odd, so that no bit of a fingerprint is a tie")
+    if width % 2 == 0 or width < shingle:
+        raise ValueError("width must hold a shingle and be odd, so that no bit of a fingerprint is a tie")
     spark = documents.sparkSession
     queries = items.where(F.col("item_id").isNotNull() & F.col("text").isNotNull()).select("item_id", word_hashes(F.col("text")).alias("w"))
     hashed = documents.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select("doc_id", word_hashes(F.col("text")).alias("w"))
