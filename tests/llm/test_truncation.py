@@ -3,7 +3,7 @@ import random
 import numpy as np
 import pytest
 
-from waygraph.llm.truncation import censored_normal, ending, truncated, truncation_rates
+from waygraph.llm.truncation import KINDS, Learnt, censored_normal, ending, ending_odds, learn, truncated, truncation_rates
 
 SCHEMA = "doc_id long, text string, source string, ending string"
 BODY = "HIGH COURT\nDocket X\n\nHEADNOTE\n— The court held the bond.\n\n1. The lease was correctly upheld by the court in its view."
@@ -21,7 +21,7 @@ BODY = "HIGH COURT\nDocket X\n\nHEADNOTE\n— The court held the bond.\n\n1. The
     ],
 )
 def test_endings(tail, kind):
-    assert ending(BODY + tail)[0] == kind
+    assert ending(BODY + tail, Learnt(frozenset({"AB-9-9"}), frozenset({"para"})))[0] == kind
 
 
 def test_censored_fit_recovers_the_lengths():
@@ -72,3 +72,44 @@ def test_empty_and_long(spark):
     df = spark.createDataFrame([(1, ("1. A sentence of the court.\n\n" * 100_000) + "2. And a sentence that simply breaks off in the mid", "x", "")], SCHEMA)
     assert [(r.doc_id, r.cut) for r in truncated(df).collect()] == [(1, True)]
     assert truncated(df.limit(0)).count() == 0
+
+
+def test_page_lines_and_abbreviations_are_learnt(spark):
+    page = "1. The court held the lease, see para. 4 and s. 9. It was upheld.\n\nRegister 17, folio {}\n\n2. The bond was void. No. 7 was not, said A. Axe."
+    rows = [(i, page.format(i), "x", "") for i in range(50)] + [(99, None, "x", ""), (98, "", None, "")]
+    got = learn(spark.createDataFrame(rows, SCHEMA))
+    assert got == Learnt(frozenset({"Register 9, folio 9"}), frozenset({"para", "s", "No"}))
+    broken = "1. The lease was held to be\n\nRegister 3, folio 9"
+    assert ending(broken)[0] == "unclear" and ending(broken, got)[0] == "fragment" and ending("1. The lease.\n\nRegister 3, folio 9", got)[0] == "closed"
+    assert learn(spark.createDataFrame(rows[-2:], SCHEMA)) == Learnt()
+
+
+def test_odds_follow_the_texts():
+    cut = np.array([2.0, 0, 80, 15, 3])
+    share, says = ending_odds(cut, np.array([900.0, 90, 8, 2, 0]), cut, np.array([900.0, 90, 8, 2, 0]))
+    assert 0.005 < share < 0.02 and all(np.log(share / (1 - share)) + says[KINDS.index(k)] > 0 for k in ("broken", "fragment"))
+    # where many whole texts end in a fragment, one says little
+    share, says = ending_odds(cut, np.array([600.0, 90, 8, 300, 2]), cut, np.array([600.0, 90, 8, 300, 2]))
+    assert np.log(share / (1 - share)) + says[KINDS.index("fragment")] < 0 < np.log(0.99 / 0.01) + says[KINDS.index("fragment")]
+
+
+def test_the_limit_decides_where_the_ending_does_not(spark):
+    """A source whose whole texts end in a few words that are each time new: cut are those at its limit."""
+    rnd = random.Random(8)
+    words = "the court held that lease bond harbour tenant was upheld against its former carrier and clerk".split()
+    sentence = lambda: " ".join(rnd.choice(words) for _ in range(rnd.randrange(8, 16))).capitalize() + "."
+    rows, at_limit = [], set()
+    for i in range(1200):
+        t = "\n\n".join(f"{k + 1}. {sentence()} {sentence()}" for k in range(max(1, int(rnd.lognormvariate(1.6, 0.5)))))
+        t += "\n\nread " + " ".join("".join(rnd.choice("abcdefghij") for _ in range(5)) for _ in range(5))
+        if len(t) > 900:
+            t = t[:900]
+        kind = ending(t)[0]
+        if len(t) == 900 and kind == "fragment":
+            at_limit.add(i)
+        rows.append((i, t, "x", ""))
+    got = {r.doc_id: r for r in truncated(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert len(at_limit) > 20
+    assert all(got[i].cut for i in at_limit)
+    off = [r for r in got.values() if r.limit_length is None and r.ending == "fragment"]
+    assert len(off) > 500 and not any(r.cut for r in off)
