@@ -69,7 +69,10 @@ def test_choice_and_grid(spark):
     assert b.coarse_grid(spark).count() == 44
     sizes = b.fine_sizes(spark.createDataFrame([(250,), (100000,), (10,)], "size int"), (0.5, 1.1)).collect()
     assert {r.size for r in sizes} == {125, 150, 300, 24000}  # 125 and 275 are rounded half up to 150 and 300
-    assert b.balanced_schedule(3) == ["a", "b", "b", "a", "a", "b"]
+    for pairs in (0, 3, 10):
+        orders = b.balanced_schedule(pairs)
+        assert sorted(orders) == sorted([("a", "b"), ("b", "a")] * (pairs // 2) + [("a", "b")] * (pairs % 2))
+    assert b.balanced_schedule(10) == b.balanced_schedule(10) != b.balanced_schedule(10, seed="2")
 
 
 def test_sample_rules(spark):

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import statistics
+import hashlib
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -141,10 +141,7 @@ def break_even(prep_ms: Column, base_ms: Column, mean_ms: Column) -> Column:
     return F.when(base_ms > mean_ms, F.ceil(prep_ms / (base_ms - mean_ms)))
 
 
-def balanced_schedule(pairs: int, a: str = "a", b: str = "b") -> list[str]:
-    """Orders ab, ba, ab ... for paired runs."""
-    return [x for i in range(pairs) for x in ((a, b) if i % 2 == 0 else (b, a))]
-
-
-def spread(values: list[float]) -> dict[str, float]:
-    return {"median": statistics.median(values), "min": min(values), "max": max(values)}
+def balanced_schedule(pairs: int, a: str = "a", b: str = "b", seed: str = "162164") -> list[tuple[str, str]]:
+    """Orders of paired runs: as many (a, b) as (b, a), or one more, in a seeded order."""
+    orders = sorted(range(pairs), key=lambda i: (hashlib.md5(f"{seed}|{i}".encode()).hexdigest(), i))
+    return [(a, b) if i % 2 == 0 else (b, a) for i in orders]

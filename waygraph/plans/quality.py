@@ -112,8 +112,8 @@ k AS (SELECT *, CASE WHEN json_type(b) = 'OBJECT' AND json_type(b, '$.lat') = 'A
 f AS (SELECT *, json_extract(o, '$.lat[*]') AS la, json_extract(o, '$.lng[*]') AS lo FROM k),
 g AS (SELECT line_id, feed, o, la, lo, coalesce(o IS NOT NULL AND json_type(o, '$.RouteId') = 'VARCHAR' AND json_extract_string(o, '$.RouteId') <> ''
   AND json_type(o, '$.RouteVarId') = 'VARCHAR' AND json_extract_string(o, '$.RouteVarId') <> '' AND len(la) > 0 AND len(la) = len(lo)
-  AND len(list_filter(la, x -> coalesce(json_type(x) IN ('UBIGINT', 'BIGINT', 'DOUBLE') AND TRY_CAST(x AS DOUBLE) BETWEEN -90 AND 90, FALSE))) = len(la)
-  AND len(list_filter(lo, x -> coalesce(json_type(x) IN ('UBIGINT', 'BIGINT', 'DOUBLE') AND TRY_CAST(x AS DOUBLE) BETWEEN -180 AND 180, FALSE))) = len(lo), FALSE) AS good FROM f)
+  AND len(list_filter(la, lambda x: coalesce(json_type(x) IN ('UBIGINT', 'BIGINT', 'DOUBLE') AND TRY_CAST(x AS DOUBLE) BETWEEN -90 AND 90, FALSE))) = len(la)
+  AND len(list_filter(lo, lambda x: coalesce(json_type(x) IN ('UBIGINT', 'BIGINT', 'DOUBLE') AND TRY_CAST(x AS DOUBLE) BETWEEN -180 AND 180, FALSE))) = len(lo), FALSE) AS good FROM f)
 """
 
 

@@ -12,6 +12,10 @@ from ..schema import TIMINGS
 from .text_formats import FormatError
 
 
+#: rows that a report may have
+REPORT_ROWS = 1000
+
+
 def sha256(spark: SparkSession, path: str) -> str:
     """Hash of one file's bytes."""
     rows = spark.read.format("binaryFile").load(path).select(F.sha2("content", 256).alias("h")).limit(2).collect()
@@ -50,8 +54,10 @@ def write_timings_csv(timings: DataFrame, path: str) -> None:
 
 
 def write_report(report: DataFrame, path: str) -> None:
-    """A report of one row as a JSON file and a Markdown table beside it."""
-    rows = [r.asDict(recursive=True) for r in report.limit(1000).collect()]
+    """A report as a JSON file and a Markdown table beside it; more than REPORT_ROWS rows are an error, as they are no report."""
+    rows = [r.asDict(recursive=True) for r in report.limit(REPORT_ROWS + 1).collect()]
+    if len(rows) > REPORT_ROWS:
+        raise ValueError(f"a report has at most {REPORT_ROWS} rows: write a table instead")
     protect([path, path + ".md"])
     Path(path).write_text(json.dumps(rows if len(rows) != 1 else rows[0], indent=2, default=str) + "\n", encoding="utf-8")
     cols = report.columns
