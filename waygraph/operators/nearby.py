@@ -1,32 +1,22 @@
-"""Points within a distance of other points: slab decomposition of the points' surroundings.
+"""Points within a distance of other points, by the regions around them.
 
-Around each point lies a region that covers every place within the distance. The plane is cut into
-horizontal slabs and each slab by walls into trapezoids of at most one region's width and more; a
-region's left edges are written to the trapezoids it meets (few: they are several times as wide and
-high). Slabs are distributed, and in a trapezoid each point finds the regions that may hold it by
-binary search in the ordered left edges; the distance on the ground then decides.
+Around each place lies a region, a box of latitudes and longitudes, that covers every place within the
+distance: one trapezoid, two where it is cut by the 180th meridian. The places are located among these
+regions (operators.regions); the distance on the ground then decides. Ids at one place are a class: the
+search is over places, and classes are spread out only where all pairs are asked for.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geo import EARTH_M, ground_distance
-from ..runtime import shuffle_width, written
-from .sorted_groups import breaks, gather
-
-#: height and width of a trapezoid in regions' diameters
-CELL = 4
-#: points of a trapezoid that one block searches for
-BLOCK = 4096
-
-_PAIRS = "a_lat double, a_lon double, b_lat double, b_lon double"
+from ..runtime import written
+from .regions import locate
 
 
 def valid_position(lat: Column, lon: Column) -> Column:
@@ -34,107 +24,81 @@ def valid_position(lat: Column, lon: Column) -> Column:
     return F.coalesce(lat.between(-90, 90) & lon.between(-180, 180) & ~((lat == 0) & (lon == 0)), F.lit(False))
 
 
-def near_positions(positions: DataFrame, radius_m: float) -> DataFrame:
-    """(a_lat, a_lon, b_lat, b_lon): pairs of different positions, a before b, at most radius_m apart.
+def near_places(places: DataFrame, radius_m: float) -> DataFrame:
+    """(a, b), a < b: numbers of places (place, lat, lon) that are at most radius_m apart.
 
-    positions: distinct, valid (lat, lon) in degrees. Both sides of the 180th meridian and the poles
-    are handled.
+    places: distinct numbers, valid positions in degrees. Both sides of the 180th meridian and the
+    poles are handled.
     """
     angle = radius_m / EARTH_M
     reach = math.degrees(angle) * 1.0001
-    height = CELL * 2 * reach
-    last = math.ceil(180 / height) - 1
-    slab_of = lambda lat: F.least(F.floor((lat + 90) / height), F.lit(last)).cast("long")
-    # the wall distance of a slab is taken at its edge nearest a pole, where a region is widest
-    edge = F.greatest(F.abs(F.col("slab") * height - 90), F.abs((F.col("slab") + 1) * height - 90))
-    narrow = F.cos(F.radians(edge))
-    width = F.when(narrow > 1e-4, F.least(F.lit(360.0), CELL * 2 * reach / narrow)).otherwise(360.0)
-    half = F.when(F.cos(F.radians("lat")) > math.sin(angle) * 1.01, F.degrees(F.asin(math.sin(angle) / F.cos(F.radians("lat")))) * 1.0001).otherwise(360.0)
-    p = positions.select(F.col("lat").cast("double").alias("lat"), F.col("lon").cast("double").alias("lon"))
-    points = p.withColumn("slab", slab_of(F.col("lat"))).select(
-        "slab", F.floor((F.col("lon") + 180) / width).cast("long").alias("tile"), "lat", "lon", F.lit(0.0).alias("shift"), F.lit(0.0).alias("half")
-    )
-    up = F.least(F.col("lat") + reach, F.lit(90.0))
-    down = F.greatest(F.col("lat") - reach, F.lit(-90.0))
-    regions = p.withColumn("half", half).select("*", F.explode(F.sequence(slab_of(down), slab_of(up))).alias("slab"))
-    turn = F.filter(
-        F.array(F.lit(0.0), F.lit(360.0), F.lit(-360.0)),
-        lambda s: (s == 0) | ((F.col("lon") + s + F.col("half") >= -180) & (F.col("lon") + s - F.col("half") <= 180)),
+    narrow = F.cos(F.radians("lat"))
+    half = F.when(narrow > math.sin(angle) * 1.01, F.degrees(F.asin(math.sin(angle) / narrow)) * 1.0001).otherwise(360.0)
+    turns = F.when(F.col("half") >= 180, F.array(F.lit(0.0))).otherwise(
+        F.filter(F.array(F.lit(0.0), F.lit(360.0), F.lit(-360.0)), lambda s: (s == 0) | ((F.col("lon") + s + F.col("half") >= -180) & (F.col("lon") + s - F.col("half") <= 180)))
     )
-    regions = regions.withColumn("shift", F.explode(turn)).withColumn("width", width)
-    west = F.greatest(F.lit(-180.0), F.col("lon") + F.col("shift") - F.col("half"))
-    east = F.least(F.lit(180.0), F.col("lon") + F.col("shift") + F.col("half"))
-    wall = lambda x: F.floor((x + 180) / F.col("width")).cast("long")
-    regions = regions.select("slab", F.explode(F.sequence(wall(west), wall(east))).alias("tile"), "lat", "lon", "shift", "half")
-    cell = ["slab", "tile"]
-    # crowded trapezoids are searched in several blocks of points, each with all edges of the trapezoid
-    crowd = points.groupBy(*cell).count().where(F.col("count") > BLOCK).select(*cell, F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks"))
-    points = points.join(crowd, cell, "left").select(
-        *cell, F.pmod(F.xxhash64("lat", "lon"), F.coalesce("blocks", F.lit(1))).cast("int").alias("block"), F.lit(1).alias("kind"), "lat", "lon", "shift", "half"
-    )
-    regions = regions.join(crowd, cell, "left").select(
-        *cell, F.explode(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1)).alias("block"), F.lit(0).alias("kind"), "lat", "lon", "shift", "half"
+    west = F.greatest(F.lit(-180.0), F.col("lon") + F.col("turn") - F.col("half"))
+    east = F.least(F.lit(180.0), F.col("lon") + F.col("turn") + F.col("half"))
+    boxes = places.withColumn("half", half).withColumn("turn", F.explode(turns)).select(
+        F.col("place").alias("region"), (F.col("lat") - reach).alias("y0"), (F.col("lat") + reach).alias("y1"),
+        west.alias("w0"), west.alias("w1"), east.alias("e0"), east.alias("e1"), F.col("lat").alias("a_lat"), F.col("lon").alias("a_lon"),
+    )
+    points = places.select("place", F.col("lon").alias("x"), F.col("lat").alias("y"))
+
+    def close(t: dict[str, np.ndarray], p: dict[str, np.ndarray]) -> np.ndarray:
+        ok = (t["region"] < p["place"]) & (p["y"] >= t["y0"]) & (p["y"] <= t["y1"])
+        ok[ok] = ground_distance(t["a_lat"][ok], t["a_lon"][ok], p["y"][ok], p["x"][ok]) <= radius_m
+        return ok
+
+    return locate(points, boxes, close).select(F.col("region").alias("a"), F.col("place").alias("b"))
+
+
+def _members(df: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """places (place, lat, lon) and members (id, place) of the nodes with a valid position."""
+    nodes = df.where(F.col("id").isNotNull() & valid_position(F.col("lat"), F.col("lon"))).select(
+        "id", (F.col("lat").cast("double") + 0.0).alias("lat"), (F.col("lon").cast("double") + 0.0).alias("lon")
     )
-    key = [*cell, "block"]
-    rows = regions.unionByName(points).repartition(shuffle_width(positions.sparkSession), *key)
-    rows = rows.sortWithinPartitions(*key, "kind", F.col("lon") + F.col("shift") - F.col("half"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = gather(batches)
-        if t is None:
-            return
-        c = {k: t.column(k).to_numpy() for k in (*key, "kind", "lat", "lon", "shift", "half")}
-        start = breaks(c["slab"], c["tile"], c["block"])
-        cell = np.repeat(np.arange(len(start)), np.diff(np.append(start, t.num_rows)))
-        region, point = np.flatnonzero(c["kind"] == 0), np.flatnonzero(c["kind"] == 1)
-        if not len(region) or not len(point):
-            return
-        # one ordered list of left edges for all trapezoids: number of the trapezoid plus the place in it
-        west = c["lon"] + c["shift"] - c["half"]
-        base = np.minimum.reduceat(west, start)[cell]
-        span = (np.maximum.reduceat(west, start)[cell] - base) * 1.01 + 1e-6
-        widest = np.maximum.reduceat(c["half"], start)[cell]
-        place = lambda i, x: cell[i] + np.clip((x - base[i]) / span[i], 0, 1 - 1e-9)
-        edges = place(region, west[region])
-        x = c["lon"][point]
-        lo = np.searchsorted(edges, place(point, x - 2 * widest[point]) - 1e-9, "left")
-        hi = np.searchsorted(edges, place(point, x) + 1e-9, "right")
-        yield from _decide(c, region, point, lo, hi, radius_m)
-
-    return rows.mapInArrow(run, _PAIRS)
-
-
-def _decide(c: dict[str, np.ndarray], region: np.ndarray, point: np.ndarray, lo: np.ndarray, hi: np.ndarray, radius_m: float) -> Iterator[pa.RecordBatch]:
-    """Exact check of the regions lo..hi of each point, some million at a time."""
-    n = np.maximum(hi - lo, 0)
-    total = np.cumsum(n)
-    first = 0
-    while first < len(n):
-        last = max(first + 1, int(np.searchsorted(total, (total[first - 1] if first else 0) + (1 << 20), "right")))
-        k = n[first:last]
-        i = point[np.repeat(np.arange(first, last), k)]
-        j = region[np.arange(int(k.sum())) - np.repeat(np.cumsum(k) - k, k) + np.repeat(lo[first:last], k)]
-        la, lo_a, lb, lo_b = c["lat"][j], c["lon"][j], c["lat"][i], c["lon"][i]
-        ok = ((la < lb) | ((la == lb) & (lo_a < lo_b))) & (ground_distance(la, lo_a, lb, lo_b) <= radius_m)
-        if ok.any():
-            yield pa.RecordBatch.from_arrays([pa.array(v[ok]) for v in (la, lo_a, lb, lo_b)], names=["a_lat", "a_lon", "b_lat", "b_lon"])
-        first = last
+    nodes = written(nodes.distinct(), "positions")
+    places = written(nodes.select("lat", "lon").distinct().withColumn("place", F.monotonically_increasing_id()), "places")
+    return places, written(nodes.join(places, ["lat", "lon"]).select("id", "place"), "members")
 
 
 def near_pairs(df: DataFrame, radius_m: float = 15.0) -> DataFrame:
     """(id_a, id_b), id_a < id_b: different ids whose positions are at most radius_m apart.
 
     df: id, lat, lon. A position that is null, not finite, out of range or 0,0 is in no pair; a null id
-    neither. Ids at one position are pairs of each other. Repeated rows count once; an id with several
-    positions is near what any of them is near. Extra columns are ignored; an empty table gives none.
+    neither. Ids at one position are pairs of each other: n of them give n (n - 1) / 2 rows, see
+    near_counts. Repeated rows count once; an id with several positions is near what any of them is
+    near. Extra columns are ignored; an empty table gives none.
     """
-    nodes = df.where(F.col("id").isNotNull() & valid_position(F.col("lat"), F.col("lon"))).select(
-        "id", (F.col("lat").cast("double") + 0.0).alias("lat"), (F.col("lon").cast("double") + 0.0).alias("lon")
-    )
-    nodes = written(nodes.distinct(), "positions")  # read four times
-    where = near_positions(nodes.select("lat", "lon").distinct(), radius_m)
-    a = nodes.select(F.col("id").alias("a"), F.col("lat").alias("a_lat"), F.col("lon").alias("a_lon"))
-    b = nodes.select(F.col("id").alias("b"), F.col("lat").alias("b_lat"), F.col("lon").alias("b_lon"))
-    apart = where.join(a, ["a_lat", "a_lon"]).join(b, ["b_lat", "b_lon"]).select("a", "b").where("a <> b")
-    same = a.join(b, (F.col("a_lat") == F.col("b_lat")) & (F.col("a_lon") == F.col("b_lon")) & (F.col("a") < F.col("b"))).select("a", "b")
-    return apart.union(same).select(F.least("a", "b").alias("id_a"), F.greatest("a", "b").alias("id_b")).distinct()
+    places, members = _members(df)
+    of = lambda n: members.select(F.col("place").alias(n), F.col("id").alias(f"id_{n}"))
+    apart = near_places(places, radius_m).join(of("a"), "a").join(of("b"), "b").select("id_a", "id_b").where("id_a <> id_b")
+    same = of("a").join(of("b"), (F.col("a") == F.col("b")) & (F.col("id_a") < F.col("id_b"))).select("id_a", "id_b")
+    return apart.union(same).select(F.least("id_a", "id_b").alias("id_a"), F.greatest("id_a", "id_b").alias("id_b")).distinct()
+
+
+def near_counts(df: DataFrame, radius_m: float = 15.0) -> DataFrame:
+    """(id, place, neighbours): each node that has any, its place and the number of other nodes within radius_m.
+
+    Rules as in near_pairs. Counted by places, without a row a pair; only ids with several positions,
+    whose neighbours can meet at more than one of them, are counted one by one. place is one of an id's.
+    """
+    places, members = _members(df)
+    size = members.groupBy("place").agg(F.count("*").alias("n"))
+    near = written(near_places(places, radius_m), "near")
+    ways = near.select(F.col("a").alias("place"), F.col("b").alias("other")).unionByName(near.select(F.col("b").alias("place"), F.col("a").alias("other")))
+    ways = ways.unionByName(places.select("place", F.col("place").alias("other")))
+    several = written(members.groupBy("id").agg(F.count("*").alias("k")).where("k > 1").select("id"), "several")
+    around = ways.join(size.withColumnRenamed("place", "other"), "other").groupBy("place").agg((F.sum("n") - 1).alias("neighbours"))
+    plain = members.join(around, "place").select("id", "place", "neighbours")
+    if not several.isEmpty():
+        # places near which such an id lies are counted by distinct ids
+        moved = members.join(several, "id", "left_semi")
+        odd = ways.join(moved.select(F.col("place").alias("other")).distinct(), "other", "left_semi").select("place").distinct()
+        ids = members.join(odd, "place", "left_semi").select("id").distinct()
+        mine = members.join(ids, "id", "left_semi").join(ways, "place").select("id", "place", "other")
+        them = members.select(F.col("place").alias("other"), F.col("id").alias("them"))
+        one = mine.join(them, "other").where("id <> them").groupBy("id").agg(F.min("place").alias("place"), F.countDistinct("them").alias("neighbours"))
+        plain = plain.join(ids, "id", "left_anti").unionByName(one)
+    return plain.where("neighbours > 0")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import nearby, rejects, spikes
+from ..operators import nearby, regions, rejects, spikes
 from .catalog import Catalog, table
 
 CATALOG = Catalog()
@@ -98,8 +98,34 @@ def p4_found(spark, d):
 SELECT id, count(*) AS neighbours FROM (SELECT id_a AS id FROM p UNION ALL SELECT id_b FROM p) GROUP BY id""")
 def p4_neighbours(spark, d):
     """Of each node that has any, the number of other nodes within 15 m."""
-    p = nearby.near_pairs(table(spark, d, "graph"), 15.0)
-    return p.select(F.explode(F.array("id_a", "id_b")).alias("id")).groupBy("id").agg(F.count("*").alias("neighbours"))
+    return nearby.near_counts(table(spark, d, "graph"), 15.0).select("id", "neighbours")
+
+
+_OCT = """
+WITH n AS (SELECT DISTINCT id, lat, lon, x_m, y_m FROM graph WHERE id IS NOT NULL AND lat IS NOT NULL AND lon IS NOT NULL AND NOT (lat = 0 AND lon = 0)),
+b AS (SELECT min(x_m) AS x0, min(y_m) AS y0 FROM n),
+o AS (SELECT CAST(floor((x_m - x0) / 3500.0) AS BIGINT) * 100000 + CAST(floor((y_m - y0) / 3500.0) AS BIGINT) AS region, min(lon) - 0.0001 AS a, max(lon) + 0.0001 AS b, min(lat) - 0.0001 AS c, max(lat) + 0.0001 AS d,
+  min(lon + lat) - 0.0001 AS e, max(lon + lat) + 0.0001 AS f, min(lon - lat) - 0.0001 AS g, max(lon - lat) + 0.0001 AS h
+  FROM n, b WHERE x_m IS NOT NULL AND y_m IS NOT NULL GROUP BY 1)
+SELECT DISTINCT n.id, o.region FROM n JOIN o ON n.lon BETWEEN o.a AND o.b AND n.lat BETWEEN o.c AND o.d AND n.lon + n.lat BETWEEN o.e AND o.f AND n.lon - n.lat BETWEEN o.g AND o.h
+"""
+
+
+@add("p4_regions", _OCT)
+def p4_regions(spark, d):
+    """Which grid clusters' hulls (octagons around their nodes, a little larger) hold each node; hulls overlap."""
+    n = table(spark, d, "graph").where(F.col("id").isNotNull() & nearby.valid_position(F.col("lat"), F.col("lon"))).select("id", "lat", "lon", "x_m", "y_m").distinct()
+    low = n.agg(F.min("x_m").alias("x0"), F.min("y_m").alias("y0"))  # one row
+    cell = lambda v, o: F.floor((F.col(v) - F.col(o)) / 3500.0)
+    m = 0.0001
+    plus, minus = F.col("lon") + F.col("lat"), F.col("lon") - F.col("lat")
+    hull = n.where("x_m is not null and y_m is not null").crossJoin(F.broadcast(low)).groupBy((cell("x_m", "x0") * 100000 + cell("y_m", "y0")).alias("region")).agg(
+        (F.min("lon") - m).alias("a"), (F.max("lon") + m).alias("b"), (F.min("lat") - m).alias("c"), (F.max("lat") + m).alias("d"),
+        (F.min(plus) - m).alias("e"), (F.max(plus) + m).alias("f"), (F.min(minus) - m).alias("g"), (F.max(minus) + m).alias("h"),
+    )
+    corners = ("f - d, d", "b, f - b", "b, b - h", "h + c, c", "e - c, c", "a, e - a", "a, a - g", "g + d, d")
+    ring = F.array(*[F.struct(F.expr(x.split(", ")[0]).alias("x"), F.expr(x.split(", ")[1]).alias("y")) for x in corners])
+    return regions.regions_holding(n.select("id", F.col("lon").alias("x"), F.col("lat").alias("y")), hull.select("region", F.array(ring).alias("rings")))
 
 
 # DuckDB reads JSON laxly: bare NaN and Inf and a comma before a closing mark are looked for apart from the strings
