@@ -18,7 +18,7 @@ import time
 
 from pyspark.sql import functions as F
 
-from .operators import bench_stats, build, kernel, relax, verify, workload
+from .operators import bench_stats, build, kernel, verify, workload
 from .operators.hierarchy import CLUSTER_M, WEIGHT, Options, build_index, heuristic_scale
 from .operators.route import STRATEGIES, route
 from .runtime import local_session, written
@@ -56,7 +56,9 @@ def parser() -> argparse.ArgumentParser:
 
     command("build", "routes", "output")
     command("export", "graph", "output")
-    command("queries", "graph", "output").add_argument("--seed", default="162163", action=Once)
+    c = command("queries", "graph", "output")
+    c.add_argument("--seed", default="162163", action=Once)
+    c.add_argument("--least", type=int, default=workload.POOL, action=Once)
     c = command("check", "graph", "queries", "answers", "results")
     c.add_argument("--mode", choices=sorted(verify.MODES), default="optimal", action=Once)
     c.add_argument("--report", action=Once)
@@ -100,8 +102,8 @@ def run(a, spark) -> int:
         return 0
     if a.command == "queries":
         files.protect([a.output], [a.graph])
-        pairs = workload.sampled_targets(relax.all_pairs(graph.edges, graph.nodes), a.seed)
-        parts = written(workload.strata(written(workload.pool(pairs, a.seed), "pool")), "strata")
+        pairs = workload.reachable_pool(graph.edges, graph.nodes, a.seed, least=a.least)
+        parts = written(workload.strata(pairs), "strata")
         q = written(workload.stratified(parts, a.seed), "sample")
         text_formats.write_queries_text(q, graph.sha256, f"{a.output}/queries")
         q.select("query_id", F.lit("found").alias("status"), F.col("g").alias("distance_m"), F.col("stratum").alias("group")).write.json(f"{a.output}/answers")

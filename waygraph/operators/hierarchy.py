@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 import math
 from dataclasses import dataclass
 
@@ -11,8 +12,10 @@ from pyspark.sql import functions as F
 from ..functions.projection import planar
 from ..runtime import written
 from ..schema import Graph
-from .relax import point_to_point, relax
+from .relax import bidirectional, point_to_point, relax
 
+#: inner edges and portals of a cluster that one task searches
+TASK_EDGES, TASK_PORTALS = 20_000, 1_000
 # fixed values: default cluster size in metres and default weight
 CLUSTER_M, WEIGHT = 3500.0, 1.05
 
@@ -101,17 +104,58 @@ def heuristic_scale(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def shortcuts(ce: DataFrame, gates: DataFrame) -> DataFrame:
-    """(src, dst, w, path): least distances between portals of one cluster inside it; path excludes src.
+    """(src, dst, w, path, c): least distances between portals of one cluster inside it; path excludes src.
 
-    Clusters with fewer than two portals have none. All clusters are searched at once.
+    Clusters with fewer than two portals have none. A cluster whose edges one task can hold is searched
+    there with a queue a portal, all others at once set-based; both take the least (distance, steps,
+    path), so the answers are the same.
     """
-    many = gates.groupBy("cluster").count().where("count > 1").select("cluster")
+    many = gates.groupBy("cluster").agg(F.count("*").alias("k")).where("k > 1")
+    inner = ce.where("c1 = c2").select("src", "dst", "w", F.col("c1").alias("cluster"))
+    large = inner.groupBy("cluster").agg(F.count("*").alias("n")).join(many, "cluster").where((F.col("n") > TASK_EDGES) | (F.col("k") > TASK_PORTALS)).select("cluster")
+    large = written(large, "large")
     start = gates.join(many, "cluster", "left_semi")
-    inner = ce.where("c1 = c2").select("src", "dst", "w")
+    kept = [x.join(large, "cluster", "left_anti") for x in (inner, start)]
+    small = _small_shortcuts(*kept)
+    if large.isEmpty():
+        return small
+    start, inner = start.join(large, "cluster", "left_semi"), inner.join(large, "cluster", "left_semi").drop("cluster")
     labels = relax(inner, start.select(F.col("id").alias("root"), "cluster", F.col("id").alias("node"), F.lit(0).alias("g")), ["root"])
     to = gates.select(F.col("id").alias("node"))
     hit = labels.where("node <> root").join(to, "node", "left_semi")
-    return hit.select(F.col("root").alias("src"), F.col("node").alias("dst"), F.col("g").alias("w"), F.slice("path", 2, F.size("path")).alias("path"), F.col("cluster").alias("c"))
+    wide = hit.select(F.col("root").alias("src"), F.col("node").alias("dst"), F.col("g").alias("w"), F.slice("path", 2, F.size("path")).alias("path"), F.col("cluster").alias("c"))
+    return small.unionByName(wide)
+
+
+def _small_shortcuts(inner: DataFrame, start: DataFrame) -> DataFrame:
+    """The shortcuts of clusters with at most TASK_EDGES edges and TASK_PORTALS portals, a task a cluster."""
+    kind = dict(inner.dtypes)["w"]
+    out = f"src long, dst long, w {kind}, path array<long>, c long"
+
+    def solve(edges, gates):
+        import pandas as pd
+
+        rows = []
+        near: dict[int, list] = {}
+        for u, v, w in zip(edges["src"].tolist(), edges["dst"].tolist(), edges["w"].tolist(), strict=True):
+            near.setdefault(u, []).append((v, w))
+        ends = set(gates["id"].tolist())
+        for root in sorted(ends):
+            best, heap = {}, [(0, 0, (root,))]
+            while heap:
+                g, hops, path = heapq.heappop(heap)
+                u = path[-1]
+                if u in best:
+                    continue
+                best[u] = (g, path)
+                for v, w in near.get(u, ()):
+                    if v not in best:
+                        heapq.heappush(heap, (g + w, hops + 1, (*path, v)))
+            c = int(gates["cluster"].iloc[0])
+            rows += [(root, v, g, list(path[1:]), c) for v, (g, path) in best.items() if v in ends and v != root]
+        return pd.DataFrame(rows, columns=["src", "dst", "w", "path", "c"])
+
+    return inner.groupBy("cluster").cogroup(start.groupBy("cluster")).applyInPandas(solve, out)
 
 
 def overlay(ce: DataFrame, short: DataFrame) -> DataFrame:
@@ -169,6 +213,16 @@ def overlay_route(graph: Graph, index: Index, queries: DataFrame, options: Optio
     return expand_paths(raw, index, queries)
 
 
+def overlay_two_way(graph: Graph, index: Index, queries: DataFrame, options: Options | None = None) -> DataFrame:
+    """(query_id, status, distance, path): the same answers from both ends, over the overlay and against its direction."""
+    options = options or index.options
+    index.check(graph, options)
+    nodes = graph.nodes.select("id").distinct().join(index.clusters.select("id", "cluster"), "id", "left")
+    columns = {"cs": ("source", "cluster"), "ct": ("target", "cluster")}
+    raw = bidirectional(nodes, index.overlay.drop("path"), queries, options.weight, F.expr(RULE), columns, paths=True)
+    return expand_paths(written(raw, "overlay-answers"), index, queries)
+
+
 def expand_paths(answers: DataFrame, index: Index, queries: DataFrame) -> DataFrame:
     """Answers with every overlay step replaced by its stored path."""
     q = queries.select("query_id", "source", "target").distinct()

@@ -9,6 +9,7 @@ from __future__ import annotations
 import heapq
 import math
 import time
+import weakref
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -20,6 +21,10 @@ from ..schema import FOUND, INVALID, UNREACHABLE
 
 #: edges and stored path nodes that are sent to a worker at most
 LIMIT = 5_000_000
+#: parts of a source's queries, so that a crowded source is searched by some tasks
+SPLIT = 4
+#: networks that have been sent to the workers: once each, not once a call
+_SENT: weakref.WeakKeyDictionary = weakref.WeakKeyDictionary()
 ALGORITHMS = ("dijkstra", "dijkstra_baseline", "astar", "hpa", "bihpa")
 
 _OUT = "query_id long, status string, distance double, path array<long>, service_ns long, expanded long, error string"
@@ -65,6 +70,35 @@ class Network:
                 yield v, w, True
 
 
+class Tree:
+    """Least distances from one source, found as far as targets have been asked for."""
+
+    def __init__(self, net: Network, source: int):
+        self.net, self.source = net, source
+        self.dist, self.parent, self.done, self.heap = {source: 0.0}, {}, set(), [(0.0, source)]
+
+    def reach(self, t: int):
+        """(distance, path, expanded): goes on where the search for the last target ended."""
+        dist, parent, done, heap, out, n = self.dist, self.parent, self.done, self.heap, self.net.out, 0
+        while heap and t not in done:
+            g, u = heapq.heappop(heap)
+            if u in done:
+                continue
+            done.add(u)
+            n += 1
+            for v, w in out.get(u, ()):
+                x = g + w
+                if x < dist.get(v, math.inf):
+                    dist[v], parent[v] = x, u
+                    heapq.heappush(heap, (x, v))
+        if t not in done:
+            return None, [], n
+        path = [t]
+        while path[-1] != self.source:
+            path.append(parent[path[-1]])
+        return dist[t], path[::-1], n
+
+
 def best_first(net: Network, s: int, t: int, weight: float, overlay: bool):
     """(distance, path, expanded): one-way search by g + weight * h; weight 0 orders by (g, node).
 
@@ -145,13 +179,18 @@ def two_way(net: Network, s: int, t: int, weight: float):
     return best, path, done
 
 
-def search(net: Network, algorithm: str, s: int | None, t: int | None, weight: float = 1.05):
-    """(status, distance, path, expanded) of one query; the distance is summed along the path again."""
+def search(net: Network, algorithm: str, s: int | None, t: int | None, weight: float = 1.05, tree: Tree | None = None):
+    """(status, distance, path, expanded) of one query; the distance is summed along the path again.
+
+    tree: of the same source, from queries before; for dijkstra only.
+    """
     if s not in net.pos or t not in net.pos:
         return INVALID, None, [], 0
     if s == t:
         return FOUND, 0.0, [s], 0
-    if algorithm in ("dijkstra", "dijkstra_baseline"):
+    if algorithm == "dijkstra":
+        g, path, n = (tree or Tree(net, s)).reach(t)
+    elif algorithm == "dijkstra_baseline":
         g, path, n = best_first(net, s, t, 0.0, False)
     elif algorithm == "astar":
         g, path, n = best_first(net, s, t, 1.0, False)
@@ -190,25 +229,29 @@ def collect_network(nodes: DataFrame, edges: DataFrame, index=None, limit: int =
 def kernel_route(net: Network, queries: DataFrame, algorithm: str = "dijkstra", weight: float = 1.05, workers: int | None = None) -> DataFrame:
     """(query_id, status, distance, path, service_ns, expanded, error): a row a query.
 
-    A query that fails gets a row with its error and a null status; others go on. The answers do not
+    dijkstra asks the queries of one source of the same tree, dijkstra_baseline keeps nothing. A query that fails gets a row with its error and a null status; others go on. The answers do not
     depend on the number of workers.
     """
     if algorithm not in ALGORITHMS:
         raise ValueError(f"unknown algorithm {algorithm!r}")
     spark = queries.sparkSession
-    sent = spark.sparkContext.broadcast(net)
+    if net not in _SENT:
+        _SENT[net] = spark.sparkContext.broadcast(net)
+    sent = _SENT[net]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = sent.value
+        own, tree = sent.value, None
         for b in batches:
             out = []
             for q, s, t in zip(*(b.column(c).to_pylist() for c in ("query_id", "source", "target")), strict=True):
                 began = time.perf_counter_ns()
                 try:
-                    status, g, path, n = search(own, algorithm, s, t, weight)
+                    if algorithm == "dijkstra" and s in own.pos and (tree is None or tree.source != s):
+                        tree = Tree(own, s)
+                    status, g, path, n = search(own, algorithm, s, t, weight, tree)
                     row = (q, status, g, path, time.perf_counter_ns() - began, n, None)
                 except Exception as e:  # one query's failure is its own
-                    row = (q, None, None, [], time.perf_counter_ns() - began, 0, str(e))
+                    row, tree = (q, None, None, [], time.perf_counter_ns() - began, 0, str(e)), None
                 out.append(row)
             names = ["query_id", "status", "distance", "path", "service_ns", "expanded", "error"]
             kinds = [pa.int64(), pa.string(), pa.float64(), pa.list_(pa.int64()), pa.int64(), pa.int64(), pa.string()]
@@ -216,4 +259,9 @@ def kernel_route(net: Network, queries: DataFrame, algorithm: str = "dijkstra",
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=names)
 
     q = queries.where("query_id is not null").select("query_id", "source", "target").distinct()
-    return q.repartition(workers or shuffle_width(spark), "query_id").mapInArrow(run, _OUT)
+    n = workers or shuffle_width(spark)
+    if algorithm != "dijkstra":
+        return q.repartition(n, "query_id").mapInArrow(run, _OUT)
+    # queries of one source together, a crowded source in some parts
+    part = F.pmod(F.xxhash64("query_id"), F.lit(SPLIT))
+    return q.repartition(n, "source", part).sortWithinPartitions("source").mapInArrow(run, _OUT)

@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import discard, written
+from ..runtime import discard, written, written_with
 from ..schema import FOUND, INVALID, UNREACHABLE
 
 MAX_ROUNDS = 10_000
@@ -34,7 +34,8 @@ def relax(edges: DataFrame, seeds: DataFrame, key: list[str], keep: Callable[[Da
     g = dict(edges.dtypes)["w"]
     start = F.array(F.col("node")) if paths else F.array().cast("array<bigint>")
     seed = seeds.select(*key, "node", F.struct(F.col("g").cast(g).alias("g"), F.lit(0).cast("long").alias("hops"), start.alias("path"), F.lit(0).alias("round"), *extra).alias("l"))
-    best = written(seed.groupBy(*key, "node").agg(F.min("l").alias("l")), "labels")
+    # the last step that made any label tells, in the same job, whether there is a front
+    best, last = written_with(seed.groupBy(*key, "node").agg(F.min("l").alias("l")), "labels", F.max("l.round"))
     out = written(edges, "edges").withColumnRenamed("src", "_src")  # read in every step
     on = F.col("node") == F.col("_src")
     on = on if joins is None else on & joins
@@ -47,19 +48,18 @@ def relax(edges: DataFrame, seeds: DataFrame, key: list[str], keep: Callable[[Da
         return flat.join(out, on).select(*key, F.col("dst").alias("node"), label.alias("l")).groupBy(*key, "node").agg(F.min("l").alias("l"))
 
     n = 0
-    while max_hops is None or n < max_hops:
+    while last == n and (max_hops is None or n < max_hops):
         if n > MAX_ROUNDS:
             raise RuntimeError(f"no end after {MAX_ROUNDS} steps")
         front = best.where(F.col("l.round") == n) if keep is None else keep(best, n)
-        if front.isEmpty():
-            break
         every = best
         for _ in range(hops if max_hops is None else min(hops, max_hops - n)):
             n += 1
             front = step(front)
             every = every.unionByName(front)
         # labels of inner steps have gone on already; those of the last step are the next front
-        old, best = best, written(every.groupBy(*key, "node").agg(F.min("l").alias("l")), "labels")
+        old = best
+        best, last = written_with(every.groupBy(*key, "node").agg(F.min("l").alias("l")), "labels", F.max("l.round"))
         discard(old)
     return best.select(*key, "node", "l.g", "l.hops", "l.path", *[f"l.{c}" for c in extra])
 
@@ -136,18 +136,22 @@ def point_to_point(nodes: DataFrame, edges: DataFrame, queries: DataFrame, heuri
     return answered(q, labels.where("node = target").select("query_id", "g", "hops", "path"))
 
 
-def bidirectional(nodes: DataFrame, edges: DataFrame, queries: DataFrame) -> DataFrame:
-    """(query_id, status, distance): exact, from both ends at once.
+def bidirectional(nodes: DataFrame, edges: DataFrame, queries: DataFrame, weight: float = 1.0, rule: Column | None = None, columns: dict[str, str] | None = None, paths: bool = False) -> DataFrame:
+    """(query_id, status, distance, hops, path): from both ends at once, within weight times the optimum (1: exact).
 
-    A query rests when the least labels of its two fronts together are no less than the best meeting:
-    any shorter path would have to pass both fronts. It never rests at the first meeting alone.
+    A query rests when weight times the least labels of its two fronts together is no less than the
+    best meeting: any shorter path would have to pass both fronts. It never rests at the first meeting
+    alone. rule and columns as in point_to_point; path is empty unless paths.
     """
     q = written(valid_queries(queries, nodes), "queries")
-    ends = q.where("ok")
-    f = ends.select("query_id", F.lit(0).alias("way"), F.col("source").alias("node"), F.lit(0).alias("g"))
-    b = ends.select("query_id", F.lit(1).alias("way"), F.col("target").alias("node"), F.lit(0).alias("g"))
-    both = edges.select("src", "dst", "w", F.lit(0).alias("_way")).unionByName(
-        edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "w", F.lit(1).alias("_way"))
+    ends = q.where("ok").select("query_id", "source", "target")
+    extra = list(columns or ())
+    for name, (end, attribute) in (columns or {}).items():
+        ends = ends.join(nodes.select(F.col("id").alias(end), F.col(attribute).alias(name)), end)
+    side = lambda way, c: ends.select("query_id", F.lit(way).alias("way"), F.col(c).alias("node"), F.lit(0).alias("g"), *extra)
+    rest = [c for c in edges.columns if c not in ("src", "dst", "w")]
+    both = edges.select("src", "dst", "w", *rest, F.lit(0).alias("_way")).unionByName(
+        edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "w", *rest, F.lit(1).alias("_way"))
     )
 
     def meetings(best: DataFrame) -> DataFrame:
@@ -162,14 +166,17 @@ def bidirectional(nodes: DataFrame, edges: DataFrame, queries: DataFrame) -> Dat
         )
         state = low.join(meetings(best), "query_id", "left")
         # a front that is empty has nothing left to find
-        live = state.where(F.col("f").isNotNull() & F.col("b").isNotNull() & (F.col("mu").isNull() | (F.col("f") + F.col("b") < F.col("mu")))).select("query_id")
+        live = state.where(F.col("f").isNotNull() & F.col("b").isNotNull() & (F.col("mu").isNull() | (weight * (F.col("f") + F.col("b")) < F.col("mu")))).select("query_id")
         return front.join(live, "query_id", "left_semi")
 
-    labels = relax(both, f.unionByName(b), ["query_id", "way"], keep=keep, joins=F.col("way") == F.col("_way"), paths=False)
-    met = labels.groupBy("query_id", "node").agg(F.min(F.when(F.col("way") == 0, F.col("g"))).alias("a"), F.min(F.when(F.col("way") == 1, F.col("g"))).alias("b"))
-    mu = met.groupBy("query_id").agg(F.min(F.col("a") + F.col("b")).alias("g"))
-    none = F.lit(None).cast("long")
-    return answered(q, mu.select("query_id", "g", none.alias("hops"), F.array().cast("array<bigint>").alias("path"))).select("query_id", "status", "distance")
+    on = F.col("way") == F.col("_way")
+    labels = relax(both, side(0, "source").unionByName(side(1, "target")), ["query_id", "way"], keep=keep, joins=on if rule is None else on & rule, paths=paths)
+    # at most two labels a node: the best from either end
+    one = lambda way: F.max(F.when(F.col("way") == way, F.struct("g", "hops", "path")))
+    met = labels.groupBy("query_id", "node").agg(one(0).alias("a"), one(1).alias("b")).where("a is not null and b is not null")
+    path = F.concat("a.path", F.slice(F.reverse("b.path"), 2, F.greatest(F.size("b.path") - 1, F.lit(0)))) if paths else F.col("a.path")
+    least = met.groupBy("query_id").agg(F.min(F.struct((F.col("a.g") + F.col("b.g")).alias("g"), (F.col("a.hops") + F.col("b.hops")).alias("hops"), path.alias("path"))).alias("x"))
+    return answered(q, least.select("query_id", "x.g", "x.hops", "x.path"))
 
 
 def all_pairs(edges: DataFrame, nodes: DataFrame) -> DataFrame:

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from ..schema import Graph
-from .hierarchy import Options, build_index, heuristic_scale, overlay_route
+from .hierarchy import Options, build_index, heuristic_scale, overlay_route, overlay_two_way
 from .kernel import ALGORITHMS, collect_network, kernel_route
-from .relax import bidirectional, point_to_point
+from .relax import point_to_point
 
 STRATEGIES = ("relational", "kernel")
 
@@ -42,5 +42,5 @@ def route(graph: Graph, queries: DataFrame, algorithm: str = "dijkstra", strateg
     if algorithm == "hpa":
         return overlay_route(graph, index, queries, options)
     if algorithm == "bihpa":
-        return bidirectional(graph.nodes, graph.edges, queries)
+        return overlay_two_way(graph, index, queries, options)
     return point_to_point(graph.nodes, graph.edges, queries)

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..runtime import written
 from .build import number_rows
+from .relax import single_source
 
 # fixed values: targets a source, pairs in the pool, queries of each stratum
 PER_SOURCE, POOL, STRATA = 10, 3000, (("short", 334), ("medium", 333), ("long", 333))
@@ -33,6 +35,27 @@ def pool(targets: DataFrame, seed: str = "162163", size: int = POOL) -> DataFram
     return targets.orderBy(order_hash(seed, "source"), "source", order_hash(seed, "source", "node"), "node").limit(size)
 
 
+def reachable_pool(edges: DataFrame, nodes: DataFrame, seed: str = "162163", size: int = POOL, block: int = 1024, least: int = 0) -> DataFrame:
+    """The same pool without the distances of all pairs: sources are searched in seeded order, block by block.
+
+    A block's pairs come before those of later blocks, so the search ends when there are `size` pairs;
+    each further block is twice as large. Fewer than `least` pairs in all are an error.
+    """
+    order = nodes.select(F.col("id").alias("source")).where("source is not null").distinct().withColumn("_h", order_hash(seed, "source"))
+    order = written(number_rows(order, ["_h", "source"], "_no"), "sources")
+    many = order.count()
+    pairs, found, first = None, 0, 0
+    while found < size and first < many:
+        some = order.where((F.col("_no") >= first) & (F.col("_no") < first + block)).select("source")
+        more = written(sampled_targets(single_source(edges, some, paths=False), seed), "pairs")
+        found += more.count()
+        pairs = more if pairs is None else pairs.unionByName(more)
+        first, block = first + block, block * 2
+    if found < least:
+        raise ValueError(f"{found} reachable pairs, {least} are wanted")
+    return written(pool(pairs, seed, size), "pool") if pairs is not None else order.select("source", F.col("source").alias("node"), F.lit(0).alias("g")).limit(0)
+
+
 def strata(pairs: DataFrame, names: tuple[str, ...] = tuple(n for n, _ in STRATA)) -> DataFrame:
     """pairs with `stratum`: equal parts in the order (g, source, node); the first parts take the rest.
 

@@ -180,7 +180,7 @@ _SSSP = f"WITH RECURSIVE {E}, {labels(SOURCES)}"
 @add("sssp_distances", _SSSP + " SELECT s AS source, node, r.g AS g, r.h AS hops FROM l")
 def sssp_distances(spark, d):
     """Every node that a query's source reaches, with its least distance."""
-    return relax.single_source(edges(spark, d), queries_of(spark, d).select("source")).select("source", "node", "g", "hops")
+    return relax.single_source(edges(spark, d), queries_of(spark, d).select("source"), paths=False).select("source", "node", "g", "hops")
 
 
 @add("path_nodes", _SSSP + " SELECT s AS source, node, array_to_string(r.p, ',') AS path FROM l")
@@ -219,7 +219,7 @@ def astar_distances(spark, d):
 @add("bidir_distances", _P2P)
 def bidir_distances(spark, d):
     """The same from both ends."""
-    return relax.bidirectional(nodes(spark, d), edges(spark, d), queries_of(spark, d))
+    return relax.bidirectional(nodes(spark, d), edges(spark, d), queries_of(spark, d)).select("query_id", "status", "distance")
 
 
 def _kernel(spark, d, algorithm):
@@ -380,6 +380,15 @@ def hpa_bound_check(spark, d):
     return _bound(hierarchy.overlay_route(g, index, pairs.select("query_id", "source", "target")), pairs, g)
 
 
+@add("bihpa_bound_check", _BOUND)
+def bihpa_bound_check(spark, d):
+    """The same from both ends."""
+    g = _positioned(spark, d)
+    index = hierarchy.build_index(g, hierarchy.Options(float(L), 1.05))
+    pairs = _pairs(spark, d, g)
+    return _bound(hierarchy.overlay_two_way(g, index, pairs.select("query_id", "source", "target")), pairs, g)
+
+
 def _kernel_bound(spark, d, algorithm):
     g = _positioned(spark, d)
     index = hierarchy.build_index(g, hierarchy.Options(float(L), 1.05))
@@ -451,8 +460,7 @@ sn AS (SELECT source, node, g, CASE tile WHEN 1 THEN 'short' WHEN 2 THEN 'medium
 
 
 def _pool(spark, d):
-    dist = relax.all_pairs(edges(spark, d), nodes(spark, d).select("id").distinct())
-    return written(workload.pool(workload.sampled_targets(dist)), "pool")
+    return workload.reachable_pool(edges(spark, d), nodes(spark, d).select("id").distinct())
 
 
 @add("workload_targets", _WORK + "SELECT source, node, g FROM t")

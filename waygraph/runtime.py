@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 
 def local_session(cores: str = "*", partitions: int = 8, app: str = "waygraph") -> SparkSession:
@@ -56,6 +56,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def written_with(df: DataFrame, name: str, value: Column) -> tuple[DataFrame, object]:
+    """written(df), and an aggregate of its rows taken by the same job."""
+    seen = Observation()
+    return written(df.observe(seen, value.alias("value")), name), seen.get["value"]
+
+
 def discard(df: DataFrame) -> None:
     """Delete the files of a written table that nothing reads any more."""
     path = getattr(df, "_written_at", None)
