@@ -3,8 +3,8 @@ import math
 import pytest
 
 from tests.graphs import LEAVE, SIX, every_pair, floyd, frames, positions, random_graph
-from waygraph.operators import kernel, relax
-from waygraph.operators.hierarchy import Options, build_index, heuristic_scale, index_stats, overlay_route
+from waygraph.operators import hierarchy, kernel, relax, workload
+from waygraph.operators.hierarchy import Options, build_index, heuristic_scale, index_stats, overlay_route, overlay_two_way
 from waygraph.operators.route import route
 from waygraph.plans import graphs
 
@@ -93,6 +93,12 @@ def test_set_based_on_whole_graphs(spark, case):
         if r.status == "found":
             assert (r.path[0], r.path[-1]) == divmod(r.query_id, n)
             assert cost(edges, r.path) == pytest.approx(r.distance) and d - 1e-9 <= r.distance <= 1.05 * d + 1e-9
+    for r in overlay_two_way(g, index, q).collect():
+        d = best[r.query_id // n][r.query_id % n]
+        assert (r.status == "unreachable") == math.isinf(d)
+        if r.status == "found":
+            assert (r.path[0], r.path[-1]) == divmod(r.query_id, n)
+            assert cost(edges, r.path) == pytest.approx(r.distance) and d - 1e-9 <= r.distance <= 1.05 * d + 1e-9
     net = kernel.collect_network(g.nodes, g.edges, index)
     for r in kernel.kernel_route(net, q, "bihpa").collect():
         d = best[r.query_id // n][r.query_id % n]
@@ -168,3 +174,33 @@ def test_the_registered_astar_aims(spark, tmp_path, monkeypatch):
     assert one == two
     blind, aimed = (sum(r.expanded or 0 for r in asked[k]) for k in ("dijkstra", "astar"))
     assert aimed < blind / 2
+
+
+def test_shortcuts_by_task_and_set_based_are_the_same(spark, monkeypatch):
+    nodes, edges = random_graph(12, metric=False, most=22)
+    g = frames(spark, nodes, edges)
+    index = lambda: sorted((r.src, r.dst, r.w, tuple(r.path)) for r in build_index(g, Options(25.0, 1.05)).overlay.where("kind = 'shortcut'").collect())
+    tasks = index()
+    monkeypatch.setattr(hierarchy, "TASK_EDGES", 0)
+    assert tasks and tasks == index()
+
+
+def test_one_tree_answers_all_targets_of_a_source():
+    for seed in range(20):
+        nodes, edges = random_graph(seed, most=22)
+        net = network(nodes, edges)
+        for s in range(len(nodes)):
+            tree = kernel.Tree(net, s)
+            for t in [*range(len(nodes)), *range(0, len(nodes), 3)]:
+                if s != t:
+                    assert tree.reach(t)[:2] == kernel.best_first(net, s, t, 0.0, False)[:2]
+
+
+def test_pool_of_blocks_is_the_pool_of_all_pairs(spark):
+    nodes, edges = random_graph(7, most=22)
+    g = frames(spark, nodes, edges)
+    every = workload.pool(workload.sampled_targets(relax.all_pairs(g.edges, g.nodes), per_source=10), size=12)
+    got = workload.reachable_pool(g.edges, g.nodes, size=12, block=1)
+    assert sorted(map(tuple, every.collect())) == sorted(map(tuple, got.collect()))
+    with pytest.raises(ValueError):
+        workload.reachable_pool(g.edges, g.nodes, size=10**6, least=10**6)

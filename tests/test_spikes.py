@@ -6,7 +6,7 @@ from datetime import datetime, timedelta
 import numpy as np
 import pytest
 
-from waygraph.operators.spikes import ABOVE, BELOW, DAY_NS, PRIOR, implausible, peaks_over_threshold, tail_cutoffs, tail_grid
+from waygraph.operators.spikes import ABOVE, BELOW, DAY_NS, PRIOR, frozen_readings, implausible, peaks_over_threshold, tail_cutoffs, tail_grid
 
 SCHEMA = "query_id long, repetition int, duration_ns long, wait_ns long, recorded_at timestamp, worker string"
 
@@ -158,3 +158,8 @@ def test_the_fitted_tail_decides(spark):
     assert any(r.far for r in got) and any(not r.far for r in got)
     flags = implausible(spark.createDataFrame(rows, SCHEMA)).collect()
     assert all(r.tail for r in flags if r.far)
+
+
+def test_no_stage_gathers_a_table_in_one_task(spark):
+    df = spark.createDataFrame(made(5), SCHEMA)
+    assert "Coalesce 1" not in frozen_readings(df)._jdf.queryExecution().toString()
