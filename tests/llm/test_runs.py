@@ -67,3 +67,8 @@ def test_missing_times_are_missing_there_only(spark, chunk):
     got = {(r.path_id, r.start_pos, r.end_pos): r.duration_s for r in stops(spark.createDataFrame(rows, SCHEMA).coalesce(1), chunk=chunk).collect()}
     want = {1: (9, 7), 2: (9, None), 3: (None, None), 4: (3, 3), 5: (2, 2), 6: (None, None)}
     assert got == {(i, a, b): d for i, x in want.items() for (a, b), d in zip([(0, 2), (3, 4)], x, strict=True)}
+
+
+def test_no_stage_gathers_a_table_in_one_task(spark):
+    df = spark.createDataFrame(made(1), SCHEMA)
+    assert "Coalesce 1" not in stops(df)._jdf.queryExecution().toString()
