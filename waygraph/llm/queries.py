@@ -47,6 +47,20 @@ def p1_combined(spark, d):
     return percentiles.combined(p1_day_summaries(spark, d), "query_id", "duration_ns")
 
 
+@add("p1_combined_check", """SELECT query_id, count(*) AS n, TRUE AS median_ok, TRUE AS p95_ok, TRUE AS p99_ok, TRUE AS bound_ok
+FROM (SELECT DISTINCT query_id, repetition, duration_ns FROM timings WHERE duration_ns IS NOT NULL AND recorded_at IS NOT NULL) GROUP BY query_id""")
+def p1_combined_check(spark, d):
+    """Whether the true rank of each combined percentile is within the stated bound, and the bound within its promise."""
+    r = table(spark, d, "timings").where("duration_ns is not null and recorded_at is not null").select("query_id", "repetition", "duration_ns", F.to_date("recorded_at").alias("day")).distinct()
+    x = r.join(p1_combined(spark, d).withColumnRenamed("n", "all"), "query_id")
+    names = {"median": 50, "p95": 95, "p99": 99}
+    counts = [F.count(F.when(F.col("duration_ns") < F.col(c), 1)).alias(f"{c}_below") for c in names] + [F.count(F.when(F.col("duration_ns") <= F.col(c), 1)).alias(f"{c}_upto") for c in names]
+    k = x.groupBy("query_id", "all", "rank_error").agg(F.count("*").alias("n"), F.countDistinct("day").alias("days"), *counts)
+    at = lambda p: F.floor((F.col("n") - 1) * p / 100)
+    ok = [((F.col(f"{c}_below") - F.col("rank_error") <= at(p)) & (at(p) <= F.col(f"{c}_upto") - 1 + F.col("rank_error")) & (F.col("all") == F.col("n"))).alias(f"{c}_ok") for c, p in names.items()]
+    return k.select("query_id", "n", *ok, (F.col("rank_error") <= percentiles.RANK_ERROR * F.col("n") + F.col("days")).alias("bound_ok"))
+
+
 _P2 = """
 WITH p AS (SELECT DISTINCT path_id, lat, lng, sampled_at FROM paths),
 q AS (SELECT path_id, unnest(lat) AS a, unnest(lng) AS o, unnest(coalesce(sampled_at, [NULL FOR x IN lat])) AS t, unnest(range(len(lat))) AS i FROM p),
