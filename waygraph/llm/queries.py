@@ -127,6 +127,13 @@ def p7_shares(spark, d):
     return mixture.shares(p7_mixture(spark, d), table(spark, d, "mix_targets"))
 
 
+@add("p7_shares_check", "SELECT source, max(max_repeats) AS max_repeats, TRUE AS share_ok, TRUE AS repeats_ok FROM mix_targets WHERE source IS NOT NULL GROUP BY source")
+def p7_shares_check(spark, d):
+    """Whether each source reaches its share within half a point, and no document is used more often than it may be."""
+    made = p7_shares(spark, d)
+    return made.select("source", "max_repeats", (F.abs(F.col("share") - F.col("target_share")) <= 0.005).alias("share_ok"), (F.col("most_uses") <= F.col("max_repeats")).alias("repeats_ok"))
+
+
 @add("p8_found")
 def p8_found(spark, d):
     """Documents whose text was cut."""
