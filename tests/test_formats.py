@@ -1,9 +1,12 @@
+import hashlib
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from tests.graphs import SIX, frames
 from waygraph import cli
+from waygraph.schema import Graph
 from waygraph.sources import files, json_formats, text_formats
 
 HASH = "7b" * 32
@@ -90,6 +93,53 @@ def test_graph_json(spark, tmp_path):
     assert sorted(json_formats.read_graph_json(spark, out).edges.collect()) == sorted(g.edges.collect())
 
 
+def test_graph_json_by_many_tasks(spark, tmp_path):
+    """No task writes or reads the document as one row."""
+    n = 3000
+    nodes = spark.range(n).selectExpr("id", "10 + id / 10000d as lat", "106d as lon", "0d as x_m", "0d as y_m")
+    edges = spark.range(n - 1).selectExpr("id as src", "id + 1 as dst", "id / 7d as w")
+    out = tmp_path / "a b%20c"
+    json_formats.write_graph_json(Graph(nodes, edges), str(out))
+    (part,) = out.glob("part-*.json")
+    text = part.read_text()
+    assert max(map(len, text.splitlines())) < 300
+    doc = json.loads(text)
+    assert [x["id"] for x in doc["nodes"]] == list(range(n)) and [(x["source"], x["distance_m"]) for x in doc["edges"]] == [(i, i / 7) for i in range(n - 1)]
+    assert not list(tmp_path.glob("*.parts-*"))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20k")
+    try:
+        for i, layout in enumerate((text, json.dumps(doc), json.dumps(doc, indent=2))):
+            g = json_formats.read_graph_json(spark, put(tmp_path, layout, f"l{i}.json"))
+            assert sorted(map(tuple, g.edges.collect())) == [(i, i + 1, i / 7) for i in range(n - 1)] and g.sha256 == hashlib.sha256(layout.encode()).hexdigest()
+            assert [tuple(r) for r in g.nodes.select("id", "lat").orderBy("id").collect()] == [(i, 10 + i / 10000) for i in range(n)]
+            for t in (g.nodes, g.edges):
+                assert t.select(F.spark_partition_id()).distinct().count() > 3
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_graph_json_layouts(spark, tmp_path):
+    d = document()
+    want = sorted([(0, 1, 1.0), (1, 2, 0.5)])
+    odd = {"id": 7, "source": "x", "lat": None}
+    metadata = [
+        {"statistics": {"node_count": 3, "of": [{"a": 1}, {"b": [{}]}]}}, {"note": "}, {a}, {\"id\": 9}, ]"}, {"other": [odd, odd, odd]}, {"deep": [{"nodes": [odd, odd], "edges": [odd, odd]}]},
+        {"nodes": [x | {"name": f"a}}b,{{{x['id']}"} for x in d["nodes"]]}, {"nodes": [x | {"tags": [{"k": 1}, {"k": 2}]} for x in d["nodes"]], "many": [{"x": {}}] * 1500},
+    ]
+    for i, more in enumerate(metadata):
+        doc = dict(reversed((d | more).items())) if i % 2 else d | more
+        g = json_formats.read_graph_json(spark, put(tmp_path, json.dumps(doc, indent=i % 3 or None), f"m{i}.json"))
+        assert sorted(map(tuple, g.edges.collect())) == want and sorted(r.id for r in g.nodes.collect()) == [0, 1, 2]
+    text = json.dumps(d)
+    assert text.endswith("]}")
+    for i, bad in enumerate((text[:-1], text.replace("}, {", "} {", 1), text.replace("}, {", "},, {", 1), text.replace('}], "edges"', '},], "edges"'), text.replace('"lat": 10.01', '"lat": NaN'), text.replace('"lat": 10.01', '"lat": "10.01"'), text.replace('"id": 1', '"id": 1.0'), text.replace('"id": 1', '"id": null'), text.replace('"target": 2, ', ""), text.replace("0.5", "1e999"), text.replace("0.5", "05"), text.replace("}, {", "}, 3, {", 1), text[:-3], "", "[]")):
+        assert bad != text
+        with pytest.raises(Exception):
+            x = json_formats.read_graph_json(spark, put(tmp_path, bad, f"x{i}.json"))
+            x.nodes.collect(), x.edges.collect()
+
+
 def test_routes_and_answers(spark, tmp_path):
     good = '{"RouteId":"a","RouteVarId":"b","lat":[1],"lng":[2]}'
     p = put(tmp_path, f"{good}\n\n{good}\n")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..operators import bench_stats, build, hierarchy, kernel, relax, verify, workload
 from ..operators.route import route
-from ..runtime import shared_dir, written
+from ..runtime import discard, discard_folder, shared_dir, written
 from ..schema import Graph
 from ..sources import files, json_formats, text_formats
 from .catalog import Catalog, table
@@ -44,10 +44,14 @@ def _path_graph(spark, d) -> Graph:
 
 
 def _graph_json(spark, d) -> Graph:
-    at = _new(spark, "graph")
-    json_formats.write_graph_json(_path_graph(spark, d), at)
+    at, g = _new(spark, "graph"), _path_graph(spark, d)
+    json_formats.write_graph_json(g, at)
+    discard(g.nodes)
+    discard(g.edges)
     # the one part of the folder
-    return json_formats.read_graph_json(spark, f"{at}/part-*.json")
+    out = json_formats.read_graph_json(spark, f"{at}/part-*.json")
+    discard_folder(spark, at)
+    return out
 
 
 _IDS = f"WITH {POINTS}, i AS (SELECT row_number() OVER (ORDER BY lat, lon) - 1 AS id, lat, lon FROM (SELECT DISTINCT lat, lon FROM pt WHERE lat IS NOT NULL AND lon IS NOT NULL))"

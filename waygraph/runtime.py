@@ -62,13 +62,81 @@ def written_with(df: DataFrame, name: str, value: Column) -> tuple[DataFrame, ob
     return written(df.observe(seen, value.alias("value")), name), seen.get["value"]
 
 
+def hadoop_path(spark: SparkSession, path: str) -> tuple[object, object]:
+    """A path and its file system."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def discard(df: DataFrame) -> None:
     """Delete the files of a written table that nothing reads any more."""
     path = getattr(df, "_written_at", None)
     if path:
-        jvm, sc = df.sparkSession._jvm, df.sparkSession.sparkContext
-        at = jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(sc._jsc.hadoopConfiguration()).delete(at, True)
+        discard_folder(df.sparkSession, path)
+
+
+def discard_folder(spark: SparkSession, path: str) -> None:
+    at, fs = hadoop_path(spark, path)
+    fs.delete(at, True)
+
+
+#: bytes that are copied or hashed at a time
+_BUFFER = 1 << 20
+
+
+def write_whole(spark: SparkSession, pieces: list[str | tuple[DataFrame, list[str], int]], path: str, suffix: str) -> None:
+    """A new folder with one file: texts, and tables (value) a line each in the given order, one after another.
+
+    A table is (df, order, bytes left out at its start). It is sorted and written by many tasks; their
+    parts are joined as bytes, each deleted as soon as it is copied, so nothing is held but a buffer.
+    """
+    jvm = spark._jvm
+    at, fs = hadoop_path(spark, path)
+    if fs.exists(at):
+        raise FileExistsError(path)
+    temp = f"{path.rstrip('/')}.parts-{uuid.uuid4().hex}"
+    try:
+        for i, piece in enumerate(pieces):
+            if not isinstance(piece, str):
+                df, order, _ = piece
+                df.repartitionByRange(sort_width(df), *order).sortWithinPartitions(*order).select("value").write.text(f"{temp}/{i}")
+        fs.mkdirs(at)
+        whole = jvm.org.apache.hadoop.fs.Path(at, "_whole")
+        out = fs.create(whole)
+        try:
+            for i, piece in enumerate(pieces):
+                if isinstance(piece, str):
+                    out.write(piece.encode())
+                    continue
+                skip = piece[2]
+                parts = [x.getPath() for x in fs.listStatus(hadoop_path(spark, f"{temp}/{i}")[0]) if x.getPath().getName().startswith("part-") and x.getLen()]
+                for part in sorted(parts, key=lambda x: int(x.getName().split("-")[1])):
+                    src = fs.open(part)
+                    try:
+                        src.seek(skip)
+                        jvm.org.apache.hadoop.io.IOUtils.copyBytes(src, out, _BUFFER, False)
+                    finally:
+                        src.close()
+                    skip = 0
+                    fs.delete(part, False)
+        finally:
+            out.close()
+        fs.rename(whole, jvm.org.apache.hadoop.fs.Path(at, f"part-00000{suffix}"))
+        fs.create(jvm.org.apache.hadoop.fs.Path(at, "_SUCCESS")).close()
+    finally:
+        discard_folder(spark, temp)
+
+
+def file_sha256(spark: SparkSession, path: str) -> str:
+    """Hash of one file's bytes, read as a stream."""
+    jvm = spark._jvm
+    at, fs = hadoop_path(spark, path)
+    hashed = jvm.java.security.DigestInputStream(fs.open(at), jvm.java.security.MessageDigest.getInstance("SHA-256"))
+    try:
+        jvm.org.apache.hadoop.io.IOUtils.copyBytes(hashed, jvm.java.io.OutputStream.nullOutputStream(), _BUFFER, False)
+    finally:
+        hashed.close()
+    return bytes(hashed.getMessageDigest().digest()).hex()
 
 
 def shuffle_width(spark: SparkSession) -> int:

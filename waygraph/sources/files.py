@@ -8,6 +8,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..runtime import file_sha256
 from ..schema import TIMINGS
 from .text_formats import FormatError
 
@@ -16,12 +17,18 @@ from .text_formats import FormatError
 REPORT_ROWS = 1000
 
 
+def one_file(spark: SparkSession, path: str) -> str:
+    """The file that a path, folder or pattern stands for; another number of files is an error."""
+    found = spark.read.text(path).inputFiles()
+    if len(found) != 1:
+        raise FormatError(f"{path} is not one file")
+    jvm = spark._jvm
+    return jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(found[0])).toString()
+
+
 def sha256(spark: SparkSession, path: str) -> str:
     """Hash of one file's bytes."""
-    rows = spark.read.format("binaryFile").load(path).select(F.sha2("content", 256).alias("h")).limit(2).collect()
-    if len(rows) != 1:
-        raise FormatError(f"{path} is not one file")
-    return rows[0].h
+    return file_sha256(spark, one_file(spark, path))
 
 
 def protect(outputs: list[str], inputs: list[str] = ()) -> None:
