@@ -189,6 +189,21 @@ def test_cli(spark, tmp_path):
         cli.main(["route", "--graph", graph, "--graph", graph, "--queries", queries, "--output", out, "--algorithm", "dijkstra"], spark)
 
 
+def test_graph_text_by_many_tasks(spark, tmp_path, monkeypatch):
+    """The lines are sorted by several tasks, not by one, and stand in order in one file."""
+    n, widths = 500, []
+    nodes = spark.range(n).selectExpr("id", "10 + id / 10000d as lat", "106d as lon", "id + 0.5d as x_m", "0d as y_m").repartition(5)
+    edges = spark.range(n - 1).selectExpr("id as src", "id + 1 as dst", "id / 7d as w").repartition(5)
+    kept = type(nodes).repartitionByRange
+    monkeypatch.setattr(type(nodes), "repartitionByRange", lambda self, k, *c: widths.append(k) or kept(self, k, *c))
+    text_formats.write_graph_text(Graph(nodes, edges, HASH), str(tmp_path / "out"))
+    assert widths and min(widths) > 1
+    (part,) = (tmp_path / "out").glob("part-*")
+    lines = part.read_text().splitlines()
+    assert lines[6] == f"NODES {n}" and lines[7 + n] == f"EDGES {n - 1}" and len(lines) == 8 + n + n - 1
+    assert [int(x.split()[0]) for x in lines[7 : 7 + n]] == list(range(n)) and [tuple(map(float, x.split())) for x in lines[8 + n :]] == [(i, i + 1, i / 7) for i in range(n - 1)]
+
+
 def test_text_of_six(spark, tmp_path):
     out = str(tmp_path / "six")
     text_formats.write_graph_text(frames(spark, *SIX), out)

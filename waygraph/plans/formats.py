@@ -68,7 +68,9 @@ def graph_text_edges(spark, d):
     """Edges of the paths' graph after a round trip through the document and the text file."""
     at = _new(spark, "text")
     text_formats.write_graph_text(_graph_json(spark, d), at)
-    return text_formats.read_graph_text(spark, at).edges.select("src", "dst")
+    out = text_formats.read_graph_text(spark, at).edges.select("src", "dst")
+    discard_folder(spark, at)
+    return out
 
 
 _WHOLE = "SELECT DISTINCT query_id, source, target FROM queries WHERE query_id IS NOT NULL AND source IS NOT NULL AND target IS NOT NULL"

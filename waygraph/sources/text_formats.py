@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.build import require_valid
-from ..runtime import written
+from ..runtime import write_whole, written
 from ..schema import COORDINATE_CRS, DISTANCE_CRS, WEIGHT_UNIT, Graph
 
 NAME = "WAYGRAPH"
@@ -177,12 +177,9 @@ def write_graph_text(graph: Graph, path: str, name: str = NAME) -> None:
     n, m = graph.nodes.count(), graph.edges.count()
     header = [f"{name}_GRAPH 1", f"GRAPH_SHA256 {graph.sha256}", f"COORDINATE_CRS {COORDINATE_CRS}", f"DISTANCE_CRS {DISTANCE_CRS}", f"WEIGHT_UNIT {WEIGHT_UNIT}", "DIRECTED 1", f"NODES {n}"]
     d = lambda c: _digits(F.col(c).cast("double"))
-    from ..operators.build import number_rows
-
-    nodes = graph.nodes.select(F.col("id").alias("pos"), F.concat_ws(" ", F.col("id").cast("string"), *[d(c) for c in ("lat", "lon", "x_m", "y_m")]).alias("value"))
-    mid = graph.nodes.sparkSession.createDataFrame([(n, f"EDGES {m}")], "pos long, value string")
-    edges = number_rows(graph.edges.select("src", "dst", "w"), ["src", "dst"], "k").select((F.col("k") + n + 1).alias("pos"), F.concat_ws(" ", "src", "dst", d("w")).alias("value"))
-    _text_file(nodes.unionByName(mid).unionByName(edges), header, "pos", path)
+    nodes = graph.nodes.select("id", F.concat_ws(" ", F.col("id").cast("string"), *[d(c) for c in ("lat", "lon", "x_m", "y_m")]).alias("value"))
+    edges = graph.edges.select("src", "dst", F.concat_ws(" ", "src", "dst", d("w")).alias("value"))
+    write_whole(graph.nodes.sparkSession, ["\n".join([*header, ""]), (nodes, ["id"], 0), f"EDGES {m}\n", (edges, ["src", "dst"], 0)], path, ".txt")
 
 
 def write_queries_text(queries: DataFrame, sha256: str, path: str, name: str = NAME) -> None:
